@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from .embeddings import op5_collision_counting_links
 from .fingerprints import op3_winnowing
+from .language_id import op1_error_correcting_language_id
+from .minhash import op8_bag_minhash
 from .packing import op7_sum_of_squares_packing
+from .pii import op4_information_theoretic_pii
+from .repeats import op2_rabin_karp_substrings, op10_suffix_array_substrings
+from .sentencepieces import op6_streaming_viterbi_pieces
+from .toxicity import op9_boosted_toxicity
 
 
 def queries() -> dict:
-    found = [op3_winnowing, op7_sum_of_squares_packing]
+    found = [
+        op1_error_correcting_language_id,
+        op2_rabin_karp_substrings,
+        op3_winnowing,
+        op4_information_theoretic_pii,
+        op5_collision_counting_links,
+        op6_streaming_viterbi_pieces,
+        op7_sum_of_squares_packing,
+        op8_bag_minhash,
+        op9_boosted_toxicity,
+        op10_suffix_array_substrings,
+    ]
     return {f.__name__: f for f in found}
 
 
