@@ -1,0 +1 @@
+"""Declarative data requests compiled to lazy Spark DataFrames."""
