@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxicity, near copies, repeated passages, personal data, packing.
 
-STAGES = []
+Each stage takes all that the one before it kept, read again from Parquet.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from loomsheet.llm import minhash, packing, pii, repeats, toxicity
+from loomsheet.llm._common import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 stay, unchanged."""
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return toxicity.clean_documents(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, unchanged."""
+    return minhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; passages that an earlier document holds are cut out."""
+    return repeats.clean_documents(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data and the terms that reveal it are replaced."""
+    return pii.clean_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in fixed windows."""
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_copies),
+    ("suffix_arrays", cut_repeats),
+    ("pii", sanitise),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the results between them are kept in the shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomsheet-checkpoints")
+    root = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

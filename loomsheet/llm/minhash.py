@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import U64, Rolling, checkpoint, chunks_by_size, components, mix64, small_batches, table, text_bytes
@@ -173,5 +174,20 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     return found.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of one document of each class, the least doc_id; all columns as they are.
+
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id the one with the least text
+    hash stays (the text that stood for the document).
+    """
+    gone = near_classes(docs).filter("not kept").select("doc_id")
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    ranked = out.select(F.struct(*docs.columns).alias("row"), "doc_id", F.row_number().over(order).alias("rank"))
+    return ranked.filter("rank = 1 or doc_id is null").select("row.*")
+
+
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))

@@ -11,8 +11,10 @@ document travel to the entry's bucket, the rest are marked and travel spread out
 passage or a copy that a third of all rows share therefore reaches its bucket once per
 task, not once per row.  Nothing is dropped, and nothing is gathered on the driver.
 
-Rows are told apart by doc_id and a 32-bit hash of their text, so rows that repeat a
-doc_id do not mix.  Rows with a null doc_id are kept whole and remove nothing.
+Anchors only rule out: they travel as 40 bits beside their bucket, and rows that repeat a
+doc_id share their hits.  What is removed is decided by whole windows, and told apart by
+doc_id and a 32-bit hash of the text.  Rows with a null doc_id are kept whole and remove
+nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,7 +34,7 @@ from ._common import BASES, U64, Rolling, chunks_by_size, mix64, partitions_for,
 from .suffix_arrays import repeated_windows
 
 #: Window lengths, and the anchors' gram lengths.
-WORDS, WORD_GRAM = 50, 8
+WORDS, WORD_GRAM = 50, 20
 BYTES, BYTE_GRAM = 50, 20
 #: Entries and bytes that a task holds before it sends them off.
 FLUSH, FLUSH_BYTES = 1_000_000, 16 << 20
@@ -101,13 +104,26 @@ def least_and_rest(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.nd
     return order, low, (d[last] > d[new])[group]
 
 
-def blobs(bucket: np.ndarray, n: int, sure: bool, columns: list[np.ndarray]) -> Iterator[dict]:
-    """A row for each bucket that has entries, their columns as bytes."""
-    order = np.argsort(bucket, kind="stable")
+def packed(a: np.ndarray, ascending: bool = False) -> bytes:
+    """An integer array, byte plane by byte plane (of its differences), compressed."""
+    if ascending:
+        a = np.diff(a, prepend=a.dtype.type(0))
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    a = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(a, dtype=kind) if ascending else a
+
+
+def blobs(bucket: np.ndarray, n: int, sure: bool, doc: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[dict, np.ndarray]]:
+    """A row for each bucket that has entries, sorted by document, and the entries' places."""
+    order = np.lexsort((doc, bucket))
     ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    columns = [c[order] for c in columns]
     for b in np.flatnonzero(np.diff(ends)).tolist():
-        yield {"bucket": b, "sure": sure} | {f"c{i}": c[ends[b] : ends[b + 1]].tobytes() for i, c in enumerate(columns)}
+        at = order[ends[b] : ends[b + 1]]
+        yield {"bucket": b, "sure": sure, "c0": packed(doc[at], True)} | {f"c{i}": packed(c[at]) for i, c in enumerate(columns, 1)}, at
 
 
 def as_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
@@ -119,34 +135,43 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.hash("text").alias("th"), "text")
 
 
+#: The document of an entry that only says: this anchor is in two documents.
+NO_DOC = np.iinfo(np.int64).min
+LOW_BITS = U64((1 << 40) - 1)
+
+
 def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int, n: int) -> DataFrame:
-    """(doc_id, th, anchor) of every anchor that also occurs in another document."""
+    """(doc_id, anchor): the low 40 bits of every anchor that also occurs in another document."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, runs, held, size = tokens(), Runs(length, gram), [], 0
         spread = TaskContext.get().partitionId()
-        names = ["bucket", "sure", "c0", "c1", "c2"]
+        names = ["bucket", "sure", "c0", "c1"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal spread
-            anchor, doc, th = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, low, many = least_and_rest((anchor,), doc)
-            anchor, doc, th = anchor[order], doc[order], th[order]
-            bucket = (anchor % U64(n)).astype(np.int64)
+            order, _, many = least_and_rest((anchor,), doc)
+            anchor, doc = anchor[order], doc[order]
+            bucket = ((anchor >> U64(40)) % U64(n)).astype(np.int64)
+            low = (anchor & LOW_BITS).view(np.uint8).reshape(-1, 8)[:, :5]
             # shared within this task: certain; one entry still tells other tasks
             first = np.ones(len(anchor), bool)
             first[1:] = anchor[1:] != anchor[:-1]
-            rows = list(blobs(bucket[~many], n, False, [anchor[~many], doc[~many], th[~many]]))
             told = many & first
-            rows += blobs(bucket[told], n, False, [anchor[told], np.full(told.sum(), np.iinfo(np.int64).min), th[told]])
             spread += 1
-            rows += blobs((np.arange(many.sum()) // 4096 + spread * 7919) % n, n, True, [anchor[many], doc[many], th[many]])
+            parts = [
+                (bucket[~many], False, doc[~many], low[~many]),
+                (bucket[told], False, np.full(told.sum(), NO_DOC), low[told]),
+                ((np.arange(many.sum()) // 4096 + spread * 7919) % n, True, doc[many], low[many]),
+            ]
+            rows = [r for b, sure, d, x in parts for r, _ in blobs(b, n, sure, d, [np.ascontiguousarray(x)])]
             for i in range(0, len(rows), 2048):
                 yield as_batch(rows[i : i + 2048], names)
 
         for batch in batches:
-            texts, ids, hashes = text_bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy()
+            texts, ids = text_bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j in chunks_by_size(texts):
                 anchor, doc, _, _ = runs.of(*read.of(texts[i:j]))
                 order = np.lexsort((anchor, doc))
@@ -154,7 +179,7 @@ def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int,
                 new = np.ones(len(doc), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
                 anchor, doc = anchor[new], doc[new] + i
-                held.append((anchor, ids[doc].astype(np.int64), hashes[doc]))
+                held.append((anchor, ids[doc].astype(np.int64)))
                 size += len(anchor)
                 if size >= FLUSH:
                     yield from flush()
@@ -163,33 +188,44 @@ def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int,
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, entries = [], []
+        found, entries = [], {}
         for batch in batches:
-            for sure, *cols in zip(*(batch.column(c).to_pylist() for c in ("sure", "c0", "c1", "c2")), strict=True):
-                (found if sure else entries).append([np.frombuffer(c, t) for c, t in zip(cols, (U64, np.int64, np.int32), strict=True)])
-        if entries:
-            anchor, doc, th = (np.concatenate(x) for x in zip(*entries, strict=True))
+            for bucket, sure, c0, c1 in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sure", "c0", "c1")), strict=True):
+                low = unpacked(c1, np.dtype("V5")).view(np.uint8).reshape(-1, 5)
+                anchor = np.zeros((len(low), 8), np.uint8)
+                anchor[:, :5] = low
+                (found if sure else entries.setdefault(bucket, [])).append((anchor.reshape(-1).view(U64), unpacked(c0, np.int64, True)))
+        for parts in entries.values():
+            anchor, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, _, many = least_and_rest((anchor,), doc)
             # an anchor that some task found in two documents counts for all
-            lone = np.iinfo(np.int64).min
-            told = np.unique(anchor[doc == lone])
-            many |= np.isin(anchor[order], told)
+            many |= np.isin(anchor[order], np.unique(anchor[doc == NO_DOC]))
             pick = order[many]
-            pick = pick[doc[pick] != lone]
-            found.append([anchor[pick], doc[pick], th[pick]])
-        for anchor, doc, th in found:
+            pick = pick[doc[pick] != NO_DOC]
+            found.append((anchor[pick], doc[pick]))
+        for anchor, doc in found:
             for i in range(0, len(anchor), 50_000):
                 s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(th[s]), pa.array(anchor[s].view(np.int64))], names=["doc_id", "th", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(anchor[s].view(np.int64))], names=["doc_id", "anchor"])
 
-    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(send, "bucket int, sure boolean, c0 binary, c1 binary, c2 binary")
-    return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, "doc_id long, th int, anchor long")
+    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(send, "bucket int, sure boolean, c0 binary, c1 binary")
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, "doc_id long, anchor long")
 
 
 def with_hits(docs: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
     """Documents, and for each the list of its hits (null: none)."""
-    by_doc = hits.groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(f"hit_{c}") for c in columns])
-    return docs.join(by_doc.hint("merge"), ["doc_id", "th"], "left")
+    by_doc = hits.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"hit_{c}") for c in columns])
+    return docs.join(by_doc.hint("merge"), "doc_id", "left")
+
+
+def own_hits(batch: pa.RecordBatch, *columns: str) -> Iterator[list[np.ndarray] | None]:
+    """Each row's lists, without those of other texts under its doc_id."""
+    for th, of, *lists in zip(batch.column("th").to_pylist(), batch.column("hit_th"), *(batch.column(f"hit_{c}") for c in columns), strict=True):
+        if not of.is_valid:
+            yield None
+            continue
+        own = of.values.to_numpy() == th
+        yield [x.values.to_numpy()[own] for x in lists]
 
 
 def candidate_runs(batch: pa.RecordBatch, read, runs: Runs) -> Iterator[tuple]:
@@ -208,7 +244,7 @@ def candidate_runs(batch: pa.RecordBatch, read, runs: Runs) -> Iterator[tuple]:
         owner = np.repeat(np.arange(j - i), np.asarray(pa.compute.list_value_length(some)))
         # (document, anchor) pairs as one key; a rare false hit only costs work
         key = lambda d, a: a ^ mix64(d.astype(U64) + U64(1))
-        keep = np.isin(key(doc, anchor), key(owner, flat))
+        keep = np.isin(key(doc, anchor & LOW_BITS), key(owner, flat))
         yield texts[i:j], rows[i:j], tokens, ends, anchor[keep], doc[keep], start[keep], count[keep]
 
 
@@ -265,17 +301,17 @@ def remove_repeated_words(docs: DataFrame, length: int = WORDS, gram: int = WORD
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, at in zip(text_bytes(batch), batch.column("hit_at"), strict=True):
+            for text, hit in zip(text_bytes(batch), own_hits(batch, "at"), strict=True):
                 words = text.split()
                 total = len(words)
-                if at.is_valid:
-                    gone = covered(at.values.to_numpy(), length, total)
+                if hit:
+                    gone = covered(hit[0], length, total)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((total, total - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_hits(docs, repeated, "at").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_hits(docs, repeated, "th", "at").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def covered(starts: np.ndarray, length: np.ndarray | int, n: int) -> np.ndarray:
@@ -292,7 +328,7 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
     The text of candidate runs goes to shards by anchor; each shard builds suffix arrays
     (see ``suffix_arrays``) and compares them by binary search.
     """
-    n = partitions_for(docs, 4 << 20)
+    n = partitions_for(docs, 2 << 20)
     hits = repeated_anchors(docs, ByteTokens, length, gram, n)
     kinds = (np.int64, np.int32, np.int32, np.int32)
 
@@ -308,16 +344,13 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
             held.clear()
             order, low, _ = least_and_rest((anchor, whole), doc)
             sure = doc[order] > low
-            rest = order[~sure]
-            bucket = (anchor[rest] % U64(n)).astype(np.int64)
-            rest, bucket = rest[np.argsort(bucket, kind="stable")], np.sort(bucket)
-            rows = list(blobs(bucket, n, False, [x[rest] for x in (doc, th, at, count)]))
-            ends = np.searchsorted(bucket, np.arange(n + 1)).tolist()
-            for r in rows:
-                r["texts"] = b"".join([texts[k] for k in rest[ends[r["bucket"]] : ends[r["bucket"] + 1]].tolist()])
+            rest, gone = order[~sure], order[sure]
+            rows = []
+            for row, places in blobs(((anchor[rest] >> U64(40)) % U64(n)).astype(np.int64), n, False, doc[rest], [x[rest] for x in (th, at, count)]):
+                row["texts"] = zstandard.compress(b"".join([texts[k] for k in rest[places].tolist()]), 3)
+                rows.append(row)
             spread += 1
-            gone = order[sure]
-            rows += blobs((np.arange(len(gone)) // 4096 + spread * 7919) % n, n, True, [x[gone] for x in (doc, th, at, count)])
+            rows += [r for r, _ in blobs((np.arange(len(gone)) // 4096 + spread * 7919) % n, n, True, doc[gone], [x[gone] for x in (th, at, count)])]
             for i in range(0, len(rows), 256):
                 yield as_batch(rows[i : i + 256], names)
 
@@ -342,11 +375,12 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
         entries, texts = [], []
         for batch in batches:
             for sure, blob, *cols in zip(*(batch.column(c).to_pylist() for c in ("sure", "texts", "c0", "c1", "c2", "c3")), strict=True):
-                doc, th, at, count = (np.frombuffer(c, t) for c, t in zip(cols, kinds, strict=True))
+                doc, th, at, count = (unpacked(c, t, not i) for i, (c, t) in enumerate(zip(cols, kinds, strict=True)))
                 if sure:
                     yield out(doc, th, at, count + length - 1)
                     continue
                 entries.append((doc, th, at, count))
+                blob = zstandard.decompress(blob)
                 ends = np.cumsum(count.astype(np.int64) + length - 1).tolist()
                 texts += [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         if entries:
@@ -361,11 +395,11 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
 
 def cut_spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
     """(bytes, bytes removed, maximal removed runs, remaining bytes) of each row."""
-    for text, at, size in zip(text_bytes(batch), batch.column("hit_at"), batch.column("hit_size"), strict=True):
-        if not at.is_valid:
+    for text, hit in zip(text_bytes(batch), own_hits(batch, "at", "size"), strict=True):
+        if not hit:
             yield len(text), 0, 0, text
             continue
-        gone = covered(at.values.to_numpy(), size.values.to_numpy(), len(text))
+        gone = covered(*hit, len(text))
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         yield len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), kept
 
@@ -382,10 +416,36 @@ def remove_repeated_bytes(docs: DataFrame, length: int = BYTES) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = with_hits(docs, repeated_spans(docs, length), "at", "size")
+    marked = with_hits(docs, repeated_spans(docs, length), "th", "at", "size")
     return marked.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def clean_documents(docs: DataFrame, length: int = BYTES) -> DataFrame:
+    """The same rows and columns, repeated bytes cut from the texts and ``n_chars`` (if there) counted anew.
+
+    A character of which only some bytes go is left out.  Null text stays null; a text that
+    goes whole is empty.
+    """
+    small_batches(docs.sparkSession)
+    columns, schema = docs.columns, docs.schema
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    wide = docs.select("doc_id", F.hash("text").alias("th"), "text", F.struct(F.lit(None).cast("string").alias("_"), *others).alias("rest"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x[3].decode("utf-8", "ignore") for x in cut_spans(batch)]
+            null = batch.column("text").is_null().to_pylist()
+            kept = [None if n else x for x, n in zip(kept, null, strict=True)]
+            rest = dict(zip([f.name for f in batch.column("rest").type], batch.column("rest").flatten(), strict=True))
+            cols = {"doc_id": batch.column("doc_id"), "text": pa.array(kept, pa.string())} | {c: rest[c] for c in others}
+            if "n_chars" in others:
+                cols["n_chars"] = pa.array([None if x is None else len(x) for x in kept], rest["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([cols[c] for c in columns], names=columns)
+
+    hits = repeated_spans(keyed(docs), length)
+    return with_hits(wide, hits, "th", "at", "size").mapInArrow(cut, schema)
+
+
 def op2_rabin_karp_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 

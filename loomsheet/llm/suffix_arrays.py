@@ -11,7 +11,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Bytes in a shard, and the longest lane of the Kasai pass.
-SHARD, LANE = 4 << 20, 256
+SHARD, LANE = 2 << 20, 256
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -27,12 +27,12 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, U64)
     for i in range(7):
         key = (key << U64(9)) | wide[i : i + n]
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)
     key = key[sa]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    rank = np.empty(n, np.int32)
     rank[sa] = head
     h = 7
     while True:
@@ -44,13 +44,13 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         group, on = head[loose], part + h
         # past the end a shorter suffix is less, and all are below any other
         further = np.where(on < n, rank[np.minimum(on, n - 1)], n - 1 - on)
-        order = np.argsort(group * (2 * n + 8) + further)
+        order = np.argsort(group.astype(np.int64) * (2 * n + 8) + further)
         part, further = part[order], further[order]
         sa[loose] = part
         split = np.ones(len(loose), bool)
         split[1:] = (group[1:] != group[:-1]) | (further[1:] != further[:-1])
         new[loose] = split
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
         rank[part] = head[loose]
         h *= 2
 
@@ -63,8 +63,8 @@ def kasai(symbols: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """
     n = len(symbols)
     lcp = np.zeros(n, np.int32)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     wide = np.concatenate((symbols, np.zeros(most + 1, symbols.dtype)))
     lane = np.arange(0, n, LANE)
     h = np.zeros(len(lane), np.int64)

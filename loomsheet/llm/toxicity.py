@@ -241,6 +241,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, SCHEMA)
 
 
+def clean_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows, all columns as they are, whose score is below ``limit``; null text is scored as empty."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray([features(t.decode(), model.lexicon) for t in text_bytes(batch)]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.predict(x) < limit, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score(docs, fit(*sample(docs, labels)))
