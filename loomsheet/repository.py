@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,7 @@ from .operators import paging, writes
 from .operators.aggregate import aggregate as aggregate_plan
 from .operators.aggregate import grouped
 from .operators.lookup import embed_all
-from .operators.ordering import nest, project, sorted_by
+from .operators.ordering import orders, project, sorted_by
 from .plans import filters as f
 from .plans.filters import Filter
 from .plans.records import record_to_filter
@@ -177,7 +178,7 @@ class Repository:
         p = request if isinstance(request, Parsed) else parse_url(request)
         node = fit_literals(p.filter, self.schema)
         if p.populate:
-            lookups = [Lookup(x.path, x.path, "id", select=x.select, where=x.match or None) for x in p.populate]
+            lookups = [Lookup(x.path, x.path, "id", single=True, select=x.select, where=x.match or None) for x in p.populate]
             return self.lookup_populate(lookups, node, sort=p.sort, page=p.page, after=p.after, limit=p.limit, select=p.select, **context)
         if p.after or (p.sort and p.page is None and self.key):
             return self.get_all(node, after=p.after, sort=p.sort, limit=p.limit, search=p.search, **context)
@@ -235,9 +236,12 @@ class Repository:
                 whole = dict(sort or ({self.key: 1} if self.key else {}))
                 plan = paging.offset_plan(base, whole, paging.valid_page(page or 1), n)
                 got = paging.offset_page(base, whole, page or 1, n)
+            # the page is already sorted: its order is kept as a number over the joins
+            order = W.orderBy(*orders(plan.schema, whole)) if whole else W.orderBy(F.lit(1))
+            placed = plan.withColumn("__at", F.row_number().over(order))  # one page of rows
             keep = {k: 1 for k, v in (select or {}).items() if v} if isinstance(select, Mapping) else select
-            trimmed = project(plan, [*keep, *(x.local for x in lookups if x.local not in keep)] if keep else select)
-            got.data = sorted_by(embed_all(trimmed, lookups, self.table), {k: v for k, v in whole.items() if k in trimmed.columns}).collect()
+            trimmed = project(placed, ["__at", *keep, *(x.local for x in lookups if x.local not in keep)] if keep else select)
+            got.data = embed_all(trimmed, lookups, self.table).orderBy("__at").drop("__at").collect()
             return got
 
         return self._run("lookupPopulate", dict(context), body, {"lookups": list(lookups), "q": node, "page": page, "after": after, "limit": limit, "sort": sort})

@@ -82,6 +82,7 @@ def test_large_membership_is_a_semi_join(spark):
 
 
 def test_filters_reach_the_scan(spark, sf):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     df = apply_filter(spark.read.parquet(f"{sf}/orders.parquet"), f.and_(f.gte("o_orderdate", "1996-01-01"), f.eq("o_orderstatus", "O"))).select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "EqualTo(o_orderstatus,O)" in plan and "o_totalprice" not in plan
