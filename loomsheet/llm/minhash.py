@@ -92,8 +92,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / total if total else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle multisets have a weighted Jaccard of ``least`` or more."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``sim``, the weighted Jaccard of their texts' shingle multisets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held = Shingles(), (None, None)
@@ -106,27 +106,31 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ta, tb = text_bytes(batch, "text_a"), text_bytes(batch, "text_b")
-            keep = []
+            sim = []
             for i, j in chunks_by_size(ta):
                 for k, mine in enumerate(split(ta[i:j]), i):
                     if held[0] != b[k]:  # rows come sorted by b
                         held = (b[k], split(tb[k : k + 1])[0])
-                    keep.append(similarity(mine, held[1]) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    sim.append(similarity(mine, held[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     t = texts.select("doc_id", "text")
     both = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.sortWithinPartitions("b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.sortWithinPartitions("b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, sim double")
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, class_id (least doc_id of its class), copies (documents of the same text), kept.
 
     Classes are the components of all candidate pairs that verify.  Equal texts are one node.
-    In each bucket all nodes are first held against the least; buckets whose nodes are not
-    then connected get every pair between their smaller components and all others, so no
-    link between different texts is lost and no group is expanded into all its pairs.
+    In each bucket all nodes are first held against the least, its leader.  In buckets whose
+    nodes are not then connected, the nodes outside the largest component are held against
+    one member of it and one of their own, chosen anew in each of ``rounds``.  What is still
+    apart is compared pair by pair, but for pairs that cannot link: 1 - Jaccard is a metric,
+    so two nodes whose similarities to the leader differ by more than 1 - ``least`` are too
+    far from each other.  So no link between different texts is lost, and no group is
+    expanded into all its pairs.
     Rows that repeat a doc_id are one document (its text: that of least hash).  Null, empty
     or blank texts and null doc_ids link with nothing.  An empty table gives no rows.
     """
@@ -157,17 +161,42 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     banded = checkpoint(banded.join(buckets, "band").select("band", "node", "leader"))
     star = banded.filter("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = checkpoint(verified(star, texts, least))
-    roots = components(links)
-    placed = banded.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = by.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    placed = checkpoint(placed.join(split, "band").select("band", "node", "leader", "component", (F.col("component") == F.col("most.component")).alias("main")))
-    small = placed.filter("not main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-    rest = small.join(placed.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "leader"), "band").filter("ca != cb and a != leader and b != leader")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(checkpoint(verified(rest, texts, least)))
-    roots = components(links)
+    tested = checkpoint(compared(star, texts))
+    roots = components(tested.filter(F.col("sim") >= least))
+    to_leader = tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), "sim")
+    banded = checkpoint(banded.join(to_leader, ["node", "leader"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))))
+
+    def apart() -> DataFrame:
+        """The nodes of buckets with more than one component, and whether theirs is the largest there."""
+        placed = banded.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        split = by.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        return checkpoint(placed.join(split, "band").select("band", "node", "sim", "component", (F.col("component") == F.col("most.component")).alias("main")))
+
+    def more(pairs: DataFrame) -> bool:
+        """Compare the pairs that were not yet; whether any linked."""
+        nonlocal tested, roots
+        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a != b").distinct()
+        new = checkpoint(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), texts))
+        if new.filter(F.col("sim") >= least).isEmpty():
+            tested = tested.union(new)
+            return False
+        tested = tested.union(new)
+        roots = components(tested.filter(F.col("sim") >= least))
+        return True
+
+    for r in range(rounds):
+        nodes_apart = apart()
+        chosen = lambda main: F.min_by(F.when(F.col("main") == main, F.col("node")), F.when(F.col("main") == main, F.xxhash64("node", F.lit(r)))).alias(f"of_{main}")  # noqa: B023, E731
+        partners = nodes_apart.groupBy("band").agg(chosen(True), chosen(False))
+        met = nodes_apart.filter("not main").join(partners, "band")
+        if not more(met.select(F.col("node").alias("a"), F.explode(F.array("of_True", "of_False")).alias("b"))):
+            break
+    nodes_apart = apart()
+    one = nodes_apart.filter("not main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sim").alias("sa"))
+    other = nodes_apart.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sim").alias("sb"))
+    near = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1 - least + 1e-9)
+    more(one.join(other, "band").filter(near).select("a", "b"))
     node_of = signed.filter("bands is not null").join(nodes.select("k1", "k2", "node", "copies"), ["k1", "k2"])
     found = node_of.join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), "copies")
     alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
