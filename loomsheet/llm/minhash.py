@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import U64, Rolling, checkpoint, chunks_by_size, components, mix64, small_batches, table, text_bytes
 from .repeats import WordTokens
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
+SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 25, 5, 512
 
 
 class Shingles:
@@ -93,7 +94,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with ``sim``, the weighted Jaccard of their texts' shingle multisets."""
+    """The pairs (a, b) with ``sim``, the weighted Jaccard of their texts' shingle multisets.
+
+    ``texts``: (node, z), the compressed text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held = Shingles(), (None, None)
@@ -105,7 +109,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = text_bytes(batch, "text_a"), text_bytes(batch, "text_b")
+            ta, tb = ([zstandard.decompress(x) for x in batch.column(c).to_pylist()] for c in ("za", "zb"))
             sim = []
             for i, j in chunks_by_size(ta):
                 for k, mine in enumerate(split(ta[i:j]), i):
@@ -114,23 +118,81 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     sim.append(similarity(mine, held[1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
-    t = texts.select("doc_id", "text")
-    both = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.sortWithinPartitions("b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, sim double")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    return both.sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, sim double")
+
 
+def block_links(links: DataFrame, alike: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what ``links`` leaves apart within the components of ``alike``.
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
+    A group of nodes is dealt to blocks; a task gets two blocks and computes all overlaps
+    between their multisets.  Blocks within one component of ``links`` are not computed.
+    """
+    group = components(alike.select("a", "b")).select("node", F.col("component").alias("group"))
+    own = components(links).select("node", F.col("component").alias("part"))
+    placed = group.join(own, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    size = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
+    placed = placed.join(size.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "group").join(texts, "node")
+    placed = placed.withColumn("own", F.pmod(F.when(F.col("blocks") > 1, F.hash("node")).otherwise(0), F.col("blocks")))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.select("group", "own", each.alias("other"), "node", "part", "z")
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "z")
+
+    def span(t: pa.Table) -> pa.Table:
+        node, part = t.column("node").to_numpy(), t.column("part").to_numpy()
+        root = part.copy()
+        if (part != part[0]).any():
+            doc, h, c = Shingles().of([zstandard.decompress(x) for x in t.column("z").to_pylist()])
+            # a shingle that stands k times is k elements
+            again = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            element, owner = mix64(np.repeat(h, c) + mix64(again.astype(U64))), np.repeat(doc, c)
+            weight = np.bincount(owner, minlength=len(node))
+            values, at, n = np.unique(element, return_inverse=True, return_counts=True)
+            shared = n > 1
+            column = np.cumsum(shared) - 1
+            keep = shared[at]
+            owner, at = owner[keep], column[at[keep]]
+            order = np.argsort(at, kind="stable")
+            owner, at = owner[order], at[order]
+            both = np.zeros((len(node), len(node)), np.float32)
+            for low in range(0, int(shared.sum()), 4096):
+                s = slice(*np.searchsorted(at, (low, low + 4096)))
+                x = np.zeros((len(node), 4096), np.float32)
+                x[owner[s], at[s] - low] = 1
+                both += x @ x.T
+            link = both >= least * (weight[:, None] + weight[None, :] - both) - 1e-3
+            exact = link & (both > 0)
+            a, b = np.nonzero(exact & (part[:, None] != part[None, :]))
+            fits = both[a, b].astype(np.float64) / (weight[a] + weight[b] - both[a, b].astype(np.float64)) >= least
+            a, b = a[fits], b[fits]
+            while True:  # least part that each part reaches
+                new = root.copy()
+                np.minimum.at(new, a, root[b])
+                by_part = {}
+                for p, r in zip(part.tolist(), new.tolist(), strict=True):
+                    by_part[p] = min(r, by_part.get(p, r))
+                new = np.asarray([by_part[p] for p in part.tolist()])
+                if (new == root).all():
+                    break
+                root = new
+        moved = root != part
+        return pa.table({"a": part[moved], "b": root[moved]})
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(span, "a long, b long").distinct()
+
+
+def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, settle: float = 0.6, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, class_id (least doc_id of its class), copies (documents of the same text), kept.
 
     Classes are the components of all candidate pairs that verify.  Equal texts are one node.
-    In each bucket all nodes are first held against the least, its leader.  In buckets whose
-    nodes are not then connected, the nodes outside the largest component are held against
-    one member of it and one of their own, chosen anew in each of ``rounds``.  What is still
-    apart is compared pair by pair, but for pairs that cannot link: 1 - Jaccard is a metric,
-    so two nodes whose similarities to the leader differ by more than 1 - ``least`` are too
-    far from each other.  So no link between different texts is lost, and no group is
-    expanded into all its pairs.
+    In each bucket all nodes are held against the least, its leader; those less alike than
+    ``settle`` are held against the least of themselves, for a few ``rounds``; nodes left
+    then stay together.  1 - Jaccard is a metric:
+    of two nodes that link, when the first settles with a leader the other is at least
+    ``settle`` - (1 - ``least``) like it.  So the components of the pairs that are that alike, or left
+    together, hold every link; those that the links found do not yet connect are compared in blocks
+    of bounded size, by matrix products, of which only spanning links come out.
     Rows that repeat a doc_id are one document (its text: that of least hash).  Null, empty
     or blank texts and null doc_ids link with nothing.  An empty table gives no rows.
     """
@@ -156,47 +218,38 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     signed = docs.mapInArrow(sign, "doc_id long, k1 long, k2 long, bands array<long>")
     signed = checkpoint(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "bands")).alias("s")).select("doc_id", "s.*"))
     nodes = checkpoint(signed.filter("bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-    texts = docs.join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     banded = checkpoint(banded.join(buckets, "band").select("band", "node", "leader"))
-    star = banded.filter("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    tested = checkpoint(compared(star, texts))
-    roots = components(tested.filter(F.col("sim") >= least))
-    to_leader = tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), "sim")
-    banded = checkpoint(banded.join(to_leader, ["node", "leader"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))))
-
-    def apart() -> DataFrame:
-        """The nodes of buckets with more than one component, and whether theirs is the largest there."""
-        placed = banded.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        by = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        split = by.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        return checkpoint(placed.join(split, "band").select("band", "node", "sim", "component", (F.col("component") == F.col("most.component")).alias("main")))
-
-    def more(pairs: DataFrame) -> bool:
-        """Compare the pairs that were not yet; whether any linked."""
-        nonlocal tested, roots
-        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a != b").distinct()
-        new = checkpoint(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), texts))
-        if new.filter(F.col("sim") >= least).isEmpty():
-            tested = tested.union(new)
-            return False
-        tested = tested.union(new)
-        roots = components(tested.filter(F.col("sim") >= least))
-        return True
-
-    for r in range(rounds):
-        nodes_apart = apart()
-        chosen = lambda main: F.min_by(F.when(F.col("main") == main, F.col("node")), F.when(F.col("main") == main, F.xxhash64("node", F.lit(r)))).alias(f"of_{main}")  # noqa: B023, E731
-        partners = nodes_apart.groupBy("band").agg(chosen(True), chosen(False))
-        met = nodes_apart.filter("not main").join(partners, "band")
-        if not more(met.select(F.col("node").alias("a"), F.explode(F.array("of_True", "of_False")).alias("b"))):
+    # the texts of nodes that share a bucket, compressed; the rest is compared with nothing
+    met = nodes.join(banded.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "k1", "k2")
+    texts = docs.join(met, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = pa.array([zstandard.compress(x, 3) for x in text_bytes(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), z], names=["node", "z"])
+
+    texts = checkpoint(texts.select("doc_id", "text").mapInArrow(squeeze, "node long, z binary"))
+    tested, open_ = None, banded
+    for _ in range(rounds):
+        pairs = open_.filter("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+        new = checkpoint(compared(pairs, texts))
+        tested = new if tested is None else checkpoint(tested.union(new))
+        # nodes far from their bucket's leader get another: the least of those left
+        known = open_.join(tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), "sim"), ["node", "leader"], "left")
+        left = known.filter((F.col("node") > F.col("leader")) & (F.col("sim") < settle)).select("band", "node")
+        leaders = left.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        open_ = checkpoint(left.join(leaders, "band").select("band", "node", "leader"))
+        if open_.isEmpty():
             break
-    nodes_apart = apart()
-    one = nodes_apart.filter("not main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sim").alias("sa"))
-    other = nodes_apart.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sim").alias("sb"))
-    near = (F.col("ca") != F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1 - least + 1e-9)
-    more(one.join(other, "band").filter(near).select("a", "b"))
+    links = tested.filter(F.col("sim") >= least).select("a", "b")
+    alike = tested.filter(F.col("sim") >= settle - (1 - least)).select("a", "b")
+    alike = alike.union(open_.filter("node > leader").select("node", "leader").distinct())
+    links = checkpoint(links.union(block_links(links, alike, texts, least)))
+    roots = components(links)
     node_of = signed.filter("bands is not null").join(nodes.select("k1", "k2", "node", "copies"), ["k1", "k2"])
     found = node_of.join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), "copies")
     alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
