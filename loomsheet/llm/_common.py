@@ -25,10 +25,16 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int, factor: int = 1) -> int:
-    """Partitions that hold about ``bytes_each`` of input; never below the session's own number."""
+    """Partitions that hold about ``bytes_each`` of input; never below the session's own number.
+
+    Where Catalyst does not know the size, the texts' bytes are summed.
+    """
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions")) * factor
-    return max(base, min(input_bytes(df) // bytes_each, 200_000))
+    size = input_bytes(df)
+    if size >= 1 << 58:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(base, min(size // bytes_each, 200_000))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
