@@ -23,6 +23,7 @@ from ._common import small_batches, table, text_bytes
 VOCABULARY = "piece_bpe_32k.model"
 #: What a byte-coded character scores below the lowest piece.
 PENALTY = 10.0
+LOWEST = float("-inf")
 SPACE = "▁"
 
 
@@ -46,7 +47,8 @@ class Vocabulary:
                 piece = piece.replace(SPACE, " ")
                 self.score[piece], self.bytes_of[i] = (i, sp.get_score(i)), piece.encode()
         self.longest = max(map(len, self.score))
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        #: Every start of a piece: its (id, score), or None if it is no piece itself.
+        self.starts = {p[:k]: None for p in self.score for k in range(1, len(p) + 1)} | self.score
         self.fallback = min((s for _, s in self.score.values() if s > -1e8), default=0.0) - PENALTY
         #: No piece runs from a word into a space: words can be searched one by one.
         self.by_word = not any(" " in p.lstrip(" ") for p in self.score)
@@ -65,41 +67,50 @@ class StreamingViterbi:
 
     def reset(self) -> None:
         self.text, self.base, self.width = "", 0, 0  # text from the committed boundary on
-        self.best, self.back, self.ids = [0.0], [0], [()]
+        self.best, self.back, self.ids = [0.0], [0], [0]  # ids: the piece that ends here, -1: bytes
         self.done = 0  # positions of ``text`` whose outgoing pieces are all entered
 
     def _extend(self, until: int) -> None:
         text, best, back, ids = self.text, self.best, self.back, self.ids
-        find, starts, longest = self.v.score.get, self.v.starts, self.v.longest
+        find, longest, fallback = self.v.starts.get, self.v.longest, self.v.fallback
         n = len(text)
-        best += [-np.inf] * (n + 1 - len(best))
-        back += [0] * (n + 1 - len(back))
-        ids += [()] * (n + 1 - len(ids))
+        more = n + 1 - len(best)
+        best += [LOWEST] * more
+        back += [0] * more
+        ids += [0] * more
         for i in range(self.done, until):
-            here = best[i]
-            if text[i : i + 1] not in self.v.score:
-                s = here + self.v.fallback
-                if s > best[i + 1]:
-                    best[i + 1], back[i + 1] = s, i
-                    ids[i + 1] = tuple(self.v.byte_id[b] for b in text[i].encode())
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = text[i:j]
-                if piece not in starts:
+            here, j, last = best[i], i + 1, min(i + longest, n)
+            found = find(text[i:j], 0)
+            if not found and here + fallback > best[j]:  # the character is no piece
+                best[j], back[j], ids[j] = here + fallback, i, -1
+            while True:
+                if found:
+                    s = here + found[1]
+                    if s > best[j]:
+                        best[j], back[j], ids[j] = s, i, found[0]
+                elif found is not None or j == last:
                     break
-                if (found := find(piece)) is not None and (s := here + found[1]) > best[j]:
-                    best[j], back[j], ids[j] = s, i, (found[0],)
+                if j == last:
+                    break
+                j += 1
+                found = find(text[i:j], 0)
         self.done = max(self.done, until)
 
     def _commit(self, at: int) -> list[int]:
         """Ids of the best path up to ``at``, which becomes the new start."""
         out, i = [], at
         while i:
-            out.append(self.ids[i])
-            i = self.back[i]
+            before = self.back[i]
+            if self.ids[i] >= 0:
+                out.append(self.ids[i])
+            else:
+                out += [self.v.byte_id[b] for b in reversed(self.text[before].encode())]
+            i = before
         self.text, self.best, self.base = self.text[at:], self.best[at:], self.base + at
         self.back, self.ids, self.done = [b - at for b in self.back[at:]], self.ids[at:], self.done - at
-        self.back[0], self.ids[0] = 0, ()
-        return [x for part in reversed(out) for x in part]
+        self.back[0] = self.ids[0] = 0
+        out.reverse()
+        return out
 
     def feed(self, part: str) -> list[int]:
         out: list[int] = []
@@ -111,7 +122,7 @@ class StreamingViterbi:
             self._extend(until)
             self.width = max(self.width, len(self.text))
             # later pieces start at done or after; earlier ones reach no further than done + longest
-            alive = {i for i in range(self.done, len(self.best)) if self.best[i] > -np.inf}
+            alive = {i for i in range(self.done, len(self.best)) if self.best[i] > LOWEST}
             while len(alive) > 1:
                 last = max(alive)
                 alive.remove(last)
