@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -45,7 +46,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomsheet-checkpoints")
         )
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # shuffles and checkpoints that nothing reads any more go now, not when the driver next needs memory
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
