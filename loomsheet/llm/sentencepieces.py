@@ -8,6 +8,7 @@ pieces, so every text comes back exactly.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from array import array
@@ -52,6 +53,14 @@ class Vocabulary:
         self.fallback = min((s for _, s in self.score.values() if s > -1e8), default=0.0) - PENALTY
         #: No piece runs from a word into a space: words can be searched one by one.
         self.by_word = not any(" " in p.lstrip(" ") for p in self.score)
+        # the letters and digits that no piece joins to other characters, directly or through others
+        inner = [set(p.lstrip(" ")) for p in self.score]
+        free = {c for p in inner for c in p if c.isalnum()}
+        while bound := {c for p in inner if not p <= free for c in p & free}:
+            free -= bound
+        bound = re.escape("".join(sorted({c for p in inner for c in p if c.isalnum()} - free)))
+        #: No piece runs from these into the others or back: runs of either kind can be searched apart.
+        self.runs = re.compile(rf" *[^\W_{bound}]+| *[\W_{bound}]+?(?= |[^\W_{bound}]|\Z)")
 
 
 class StreamingViterbi:
@@ -98,7 +107,7 @@ class StreamingViterbi:
 
     def _commit(self, at: int) -> list[int]:
         """Ids of the best path up to ``at``, which becomes the new start."""
-        out, i = [], at
+        out, i, whole = [], at, at == len(self.text)
         while i:
             before = self.back[i]
             if self.ids[i] >= 0:
@@ -106,6 +115,11 @@ class StreamingViterbi:
             else:
                 out += [self.v.byte_id[b] for b in reversed(self.text[before].encode())]
             i = before
+        if whole:
+            self.text, self.best, self.back, self.ids = "", [0.0], [0], [0]
+            self.base, self.done = self.base + at, 0
+            out.reverse()
+            return out
         self.text, self.best, self.base = self.text[at:], self.best[at:], self.base + at
         self.back, self.ids, self.done = [b - at for b in self.back[at:]], self.ids[at:], self.done - at
         self.back[0] = self.ids[0] = 0
@@ -139,32 +153,45 @@ class StreamingViterbi:
 
 
 class Encoder(dict):
-    """Ids (int32 bytes) of a text; those of short words are remembered, the memo is emptied when full."""
+    """Ids (int32 bytes) of a text; those of short words are remembered.
 
-    WORDS = re.compile(r" *[^ ]+| +")
+    When the memo is full it becomes the old one, from which words still in use come back;
+    so it holds ``limit`` words twice at most, and frequent words are not searched again.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         super().__init__()
         self.v, self.limit, self.search = vocabulary, limit, StreamingViterbi(vocabulary)
+        self.old: dict[str, bytes] = {}
+        self.cut = vocabulary.runs.findall if vocabulary.by_word else None
 
     def _ids(self, text: str) -> bytes:
         return array("i", self.search.feed(text) + self.search.finish()).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
         if len(word) <= 40:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.WORDS.findall(text))) if self.v.by_word else self._ids(text)
+        return b"".join(map(self.__getitem__, self.cut(text))) if self.cut else self._ids(text)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(Vocabulary(path))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds ``into`` array<int>. Null text gives null, empty text an empty array; other columns stay.
 
@@ -175,7 +202,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     schema = kept.withColumn(into, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for batch in batches:
             parts = [encoder.encode(x.decode()) for x in text_bytes(batch, text)]
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
@@ -194,7 +221,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     schema = kept.withColumn(into, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for batch in batches:
             col = batch.column(ids)
             flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum([n or 0 for n in pa.compute.list_value_length(col).to_pylist()])))
@@ -214,7 +241,7 @@ def op6_streaming_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for batch in batches:
             texts = text_bytes(batch)
             parts = [encoder.encode(x.decode()) for x in texts]
