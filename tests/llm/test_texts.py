@@ -145,6 +145,22 @@ def test_streaming_commits_early_within_a_bounded_window():
     assert whole == np.frombuffer(sentencepieces.Encoder(v).encode(text), np.int32).tolist()
 
 
+def test_cutting_at_runs_loses_no_score():
+    v = sentencepieces.Vocabulary(PIECES)
+    encoder, search = sentencepieces.Encoder(v, limit=5), sentencepieces.StreamingViterbi(v)
+
+    def score(ids):  # bytes stand for characters outside the vocabulary
+        return len([i for i in ids if i in v.byte_id.values()]), sum(v.score[p][1] for i in ids if (p := v.bytes_of[i].decode("utf-8", "replace")) in v.score)
+
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice("ab e.,!²(\n'₹é-_▁9") for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    for t in ODD + mixed + [(r[1] or "")[:3000] for r in fixtures.rows()]:
+        assert "".join(encoder.cut(t)) == t
+        whole = search.feed(t) + search.finish()
+        got = np.frombuffer(encoder.encode(t), np.int32).tolist()
+        assert score(got) == (score(whole)[0], pytest.approx(score(whole)[1]))
+
+
 def test_encode_and_decode_frames(spark):
     df = fixtures.docs(spark).withColumnRenamed("anchor", "ids")
     out = sentencepieces.decode(sentencepieces.encode(df, PIECES), PIECES).collect()
