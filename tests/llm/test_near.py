@@ -173,6 +173,25 @@ def test_terms_that_reveal_are_found_and_others_left(spark):
     assert "<EMAIL>" in out[300] and "<NAME>" in out[300] and "Zebulon" not in out[300] and out[5] == dict(rows)[5]
 
 
+def test_terms_of_entities_in_one_text_or_in_copies_are_judged(spark):
+    filler = lambda i: f"Common Plain words of House number {i} in some longer text"
+    rows = [(i, filler(i)) for i in range(200)]
+    rows += [(300, "Common text by Zebulon of Quartzite at zeb@mail.example"), (301, "Common text that names Quartzite alone")]
+    rows += [(400 + k, "Plain text by Yolanda of Obsidian at yol@mail.example") for k in range(30)]
+    rows += [(500, "Plain text that names Obsidian alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing(pii.analysed(df)).collect()}
+    # one text: 1 + log(1.5 / 2) / log(233); in two texts, 1.5 / 3 is too little; copies: 1 + log(30 / 31) / log(233 / 30)
+    assert marks[("email:zeb@mail.example", "Zebulon")] == pytest.approx(1 + np.log(0.75) / np.log(233))
+    assert marks[("email:yol@mail.example", "Yolanda")] == 1
+    assert marks[("email:yol@mail.example", "Obsidian")] == pytest.approx(1 + np.log(30 / 31) / np.log(233 / 30))
+    assert len(marks) == 3
+    out = {r["doc_id"]: r["text"] for r in pii.clean_documents(df).collect()}
+    assert out[300] == "Common text by <NAME> of Quartzite at <EMAIL>"
+    assert {out[400 + k] for k in range(30)} == {"Plain text by  of <NAME> at <EMAIL>"}
+    assert all(out[i] == t for i, t in rows if i < 200 or i in (301, 500))
+
+
 def test_clean_documents_keeps_columns(spark):
     df = fixtures.docs(spark)
     out = pii.clean_documents(df)
