@@ -344,6 +344,11 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
             held.clear()
             order, low, _ = least_and_rest((anchor, whole), doc)
             sure = doc[order] > low
+            # the first entry of each group is of its least document; bytes decide, not the hash
+            new = np.ones(len(order), bool)
+            new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            sure[sure] = [texts[a] == texts[b] for a, b in zip(order[sure].tolist(), first[sure].tolist(), strict=True)]
             rest, gone = order[~sure], order[sure]
             rows = []
             for row, places in blobs(((anchor[rest] >> U64(40)) % U64(n)).astype(np.int64), n, False, doc[rest], [x[rest] for x in (th, at, count)]):

@@ -71,6 +71,12 @@ def test_small_flushes_and_shards_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, repeats.remove_repeated_bytes(fixtures.docs(spark)).collect()), key=str) == whole
 
 
+def test_runs_of_equal_hash_are_compared_by_bytes(spark, monkeypatch):
+    whole = sorted(map(tuple, repeats.remove_repeated_bytes(fixtures.docs(spark).coalesce(1)).collect()), key=str)
+    monkeypatch.setattr(repeats, "mix64", lambda x: np.zeros(len(x), np.uint64))  # every run of an anchor collides
+    assert sorted(map(tuple, repeats.remove_repeated_bytes(fixtures.docs(spark).coalesce(1)).collect()), key=str) == whole
+
+
 def test_stage_keeps_rows_columns_and_valid_text(spark):
     df = fixtures.docs(spark)
     out = repeats.clean_documents(df)
