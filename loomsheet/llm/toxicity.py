@@ -94,7 +94,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         near = int((gap <= 5).sum())
     weights = sorted((weight[plain[i]] for i in hit), reverse=True)
     shouted = sum(map(str.isupper, words))
-    letters = sum(map(str.isupper, text)) if shouted or text[:1].isupper() else 0
+    letters = sum(map(str.isupper, text))
     return [
         float(np.log1p(n)), float(len(bad)), len(bad) / n, (len(hit) - len(worst)) / n, sum(weights) / n, sum(weights[:3]),
         near / n, len(you) / n, letters / chars, shouted / n, text.count("!") / chars, text.count("?") / chars,

@@ -208,6 +208,11 @@ def test_trees_and_isotonic():
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    row = toxicity.features("yOu iDiOt", toxicity.Lexicon({}, frozenset()))
+    assert row[toxicity.NAMES.index("capitals")] == 3 / 9
+
+
 def test_toxicity_learns_words_and_disguises(spark):
     rng = random.Random(0)
     words = [f"w{chr(97 + i)}{chr(98 + i % 20)}x" for i in range(25)]
