@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ._common import checkpoint, components, table
 
 COSINE, RECALL, LINES, BLOCK = 0.98, 0.999, 16, 1024
+#: Most lines that deal cells; everything but their number is calibrated for so many.
+CELL_LINES = 6
 
 
 def half_width(cosine: float, miss: float) -> float:
@@ -58,13 +60,14 @@ def local_roots(link: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndar
         q, x = new_q, new_x
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, lines: int = LINES, block: int = BLOCK) -> DataFrame:
+def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, lines: int = LINES, block: int = BLOCK, grid: int | None = None) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Identical vectors of one label are compared once and count with their number.  Vectors
     without a label, null, zero, or with a null or non-finite component link with nothing;
     so do vectors of different length, and rows with a null vec_id (their component is
-    null and they are kept).  An empty table gives no rows.
+    null and they are kept).  An empty table gives no rows.  Only the number of lines that
+    deal cells (``grid``) follows from the table's size.
     """
     rows = vectors.select("vec_id", "label", "embedding")
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -76,9 +79,10 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
         .groupBy("k1", "k2")
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     )
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    grid = max(1, min(6, math.ceil(math.log(max(1, largest / 4000), 3))))
-    miss = (1 - recall) / (2 * grid)
+    if grid is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        grid = max(1, min(CELL_LINES, math.ceil(math.log(max(1, largest / 4000), 3))))
+    miss = (1 - recall) / (2 * CELL_LINES)
     h, need = half_width(cosine, miss), least_count(lines, miss, (1 - recall) / 2)
 
     def deal(batches):
@@ -88,7 +92,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
             out = []
             for i, v in enumerate(batch.column("embedding")):
                 a = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-                at = (a / np.linalg.norm(a)) @ directions(len(a), grid) / (2 * h)
+                at = (a / np.linalg.norm(a)) @ directions(len(a), CELL_LINES)[:, :grid] / (2 * h)
                 own = np.floor(at).astype(int)
                 # the neighbouring cell whose queries may have this vector in their window
                 side = np.where(at - own < 0.5, -1, 1)
@@ -117,7 +121,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
         q, x = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         link = np.zeros((len(q), len(x)), bool)
         if len(q) and len(x):
-            at = v @ directions(v.shape[1], grid + lines)[:, grid:]
+            at = v @ directions(v.shape[1], lines, seed=12)
             hits = np.zeros((len(q), len(x)), np.int16)
             for i in range(lines):
                 order = np.argsort(at[x, i])

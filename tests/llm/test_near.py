@@ -71,6 +71,14 @@ def test_vectors_against_brute_force(spark):
     assert embeddings.near_links(df.limit(0)).count() == 0
 
 
+def test_more_cell_lines_only_lose_at_cells(spark):
+    df = spark.createDataFrame(vectors(), "vec_id long, label int, embedding array<double>").filter("label = 1 and size(embedding) = 16")
+    df = df.selectExpr("vec_id", "label", "cast(embedding as array<float>) embedding")
+    # at a low recall many pairs are lost; a pair found with more cell lines is found with fewer
+    few, more = ({r["vec_id"]: r["n_links"] for r in embeddings.near_links(df, recall=0.3, grid=g).collect()} for g in (1, 3))
+    assert sum(few.values()) > 0 and all(more[i] <= n for i, n in few.items())
+
+
 def multiset(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
