@@ -228,3 +228,108 @@ def test_stage_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() <= docs.count()
+
+
+def plain_spans(t):
+    return [(m.start(), m.end(), k, m.group()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m.group())]
+
+
+def plain_sanitised(texts):
+    """The texts (of ASCII) by id, with personal data and the terms that reveal it replaced."""
+    term = r"(?<!\w)(?=[A-Z]|[A-Za-z]*[0-9_])\w{4,}"
+    entities = {i: {(k, v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)) for *_, k, v in plain_spans(t)} for i, t in texts.items()}
+    terms = {}
+    for i, t in texts.items():
+        for p in PATTERNS.values() if entities[i] else ():
+            t = re.sub(p, " ", t)
+        terms[i] = set(re.findall(term, t))
+    shares = Counter()
+    for once in (True, False):  # distinct texts, documents
+        ids = list({t: i for i, t in texts.items()}.values()) if once else list(texts)
+        n_e, n_t = Counter(e for i in ids for e in entities[i]), Counter(x for i in ids for x in terms[i])
+        for (e, x), n in Counter((e, x) for i in ids for e in entities[i] for x in terms[i]).items():
+            p = n / n_t[x] if n >= 2 else (n + 0.5) / (n_t[x] + 1)
+            shares[e, x] = max(shares[e, x], 1 + np.log(p) / np.log(len(ids) / n_e[e]))
+    out = {}
+    for i, t in texts.items():
+        spans = [(a, b, f"<{k.upper()}>") for a, b, k, _ in plain_spans(t)]
+        base = list(spans)
+        for m in re.finditer(term, t):
+            share = max((shares[e, m.group()] for e in entities[i]), default=0)
+            if share >= 0.9 and not any(a < m.end() and m.start() < b for a, b, _ in base):
+                spans.append((m.start(), m.end(), "" if share >= 0.999 else "<CODE>" if re.search("[0-9]", m.group()) else "<NAME>"))
+        for a, b, tag in sorted(spans, reverse=True):
+            t = t[:a] + tag + t[b:]
+        out[i] = t
+    return out
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    import glob
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from loomsheet.llm import packing, toxicity
+
+    from .test_repeats import covered, least, split_bytes
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, bad = {i: text(rng.randint(15, 120)) for i in range(300)}, set(range(0, 300, 4))
+    for i in bad:
+        rows[i] = f"{text(5)} you {rng.choice(['scoundrel', 'villain', 'dolt'])} {rows[i]}"
+    long = text(100).split()
+    for k in range(3):
+        rows[400 + k] = " ".join([*long[: 40 + k], "changed", *long[41 + k :]])  # near copies
+    rows[410], rows[411] = rows[1], rows[2]  # exact copies
+    passage = text(15)
+    for k in range(3):
+        rows[420 + k] = f"{text(20)} {passage} {text(20)}"
+    rows[430] = f"{text(12)} Zebulon at Zeb@mail.example and 10.0.0.7 {text(12)}"
+    for k in range(3):
+        rows[431 + k] = f"{text(12)} Yolanda of b{k}rd writes from yol@mail.example {text(12)}"
+    rows[440] = f"{text(12)} call +49 (170) 123-4567 or pay 4111 1111 1111 1111 {text(12)}"
+    docs = [(i, t, len(t)) for i, t in rows.items()]
+    table = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in range(300)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/pipeline-*"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    (root,) = set(glob.glob(f"{shared}/pipeline-*")) - before
+    after = lambda stage: {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{root}/{stage}").collect()}
+
+    model = toxicity.fit(*toxicity.sample(table, labels))
+    rejected = {i for i, t in rows.items() if model.predict(np.asarray([toxicity.features(t, model.lexicon)]))[0] >= 0.5}
+    assert len(bad & rejected) >= 0.95 * len(bad) and len(rejected - bad) <= 0.05 * len(rows)
+    want = {i: t for i, t in rows.items() if i not in rejected}
+    assert after("toxicity") == want
+    sets = {i: multiset(t) for i, t in want.items()}
+    ids, links = sorted(sets), []
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            low = sum((sets[a] & sets[b]).values())
+            if low and low / (sum(sets[a].values()) + sum(sets[b].values()) - low) >= 0.8:
+                links.append((a, b))
+    classes = closed(ids, links)
+    want = {i: want[i] for i in ids if classes[i] == i}
+    assert after("minhash") == want and 400 in want and not {401, 402, 410, 411} & want.keys()
+    low = least(list(want.items()), split_bytes, 50)
+    cut = {i: bytes(b for b, g in zip(t.encode(), covered(t.encode(), i, low, 50), strict=True) if not g).decode() for i, t in want.items()}
+    assert after("suffix_arrays") == cut and passage in cut[420] and all(passage not in cut[i] for i in (421, 422))
+    clean = plain_sanitised(cut)
+    assert after("pii") == clean
+    assert "<NAME>" in clean[430] and "Yolanda" not in clean[431] and "<CARD>" in clean[440] and "<PHONE>" in clean[440]
+    whole, at = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), Counter()
+    tokens = {i: np.asarray([*whole.encode(t, add_special_tokens=False).ids, packing.END_ID], np.uint32) for i, t in clean.items()}
+    for r in sorted(pieces, key=lambda r: (r["doc_id"], r["start"])):
+        i, start = r["doc_id"], r["start"]
+        assert start == at[i] and r["doc_tokens"] == len(tokens[i])
+        assert r["ids_crc32"] == zlib.crc32(tokens[i][start : start + r["length"]].tobytes())
+        at[i] += r["length"]
+    assert at == {i: len(x) for i, x in tokens.items()}
