@@ -19,17 +19,20 @@ FORMATS = {
     "year": "yyyy",
 }
 SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
+#: The end of a text with a time and an offset from UTC.
+OFFSET = r"\d:\d{2}.*(?:[zZ]|[+-]\d{2}:?\d{2})\s*$"
 #: Monday of the first week bin, in seconds from the epoch.
 MONDAY = 4 * 86400
 
 
 def moment(c: Column, kind: T.DataType) -> Column:
-    """ISO text, epoch milliseconds, dates and timestamps as a UTC wall time."""
+    """ISO text, epoch milliseconds, dates and timestamps as a UTC wall time; text without an offset is UTC."""
     own = family(kind)
     if own == "number":
         c = F.timestamp_millis(c.cast("long"))
     elif own == "string":
-        c = F.try_to_timestamp(c)
+        zoned = F.convert_timezone(None, F.lit("UTC"), F.try_to_timestamp(c).cast("timestamp_ntz"))
+        return F.when(c.rlike(OFFSET), zoned).otherwise(c.try_cast("timestamp_ntz"))
     if isinstance(kind, T.TimestampNTZType):
         return c
     if isinstance(kind, T.DateType):

@@ -19,11 +19,14 @@ from .ordering import nest, orders, sorted_by
 RANK = "__rank"
 
 
-def measure(m: Measure, schema: T.StructType) -> Column:
-    """One aggregate; rows outside its own filter are not seen by it."""
+def argument(m: Measure, schema: T.StructType) -> Column:
+    """What an aggregate sees: rows outside its own filter are null to it."""
     c = paths.column(schema, m.field) if m.field else F.lit(1)
-    if m.where is not None:
-        c = F.when(compile_filter(m.where, schema), c)
+    return c if m.where is None else F.when(compile_filter(m.where, schema), c)
+
+
+def measure(m: Measure, schema: T.StructType) -> Column:
+    c = argument(m, schema)
     return {
         "count": F.count,
         "countDistinct": F.count_distinct,
@@ -31,12 +34,27 @@ def measure(m: Measure, schema: T.StructType) -> Column:
         "avg": F.avg,
         "min": F.min,
         "max": F.max,
-        "percentile": lambda x: F.percentile(x, float(m.p)),
+        "percentile": lambda x: F.percentile_approx(x, float(m.p), m.accuracy),
         "stddev": F.stddev_samp,
         "stddevPop": F.stddev_pop,
     }[m.op](c)
 
 
+def measures(request: Aggregate, schema: T.StructType) -> tuple[list[Column], dict[str, Column]]:
+    """(aggregates, what each alias is made of). Exact percentiles of one column share one buffer of its values."""
+    columns, out, shared = [], {}, {}
+    for alias, m in request.measures.items():
+        if m.op == "percentile" and m.accuracy is None:
+            shared.setdefault((m.field, repr(m.where)), []).append((alias, m))
+        else:
+            columns.append(measure(m, schema).alias(alias))
+            out[alias] = F.col(paths.quoted(alias))
+    for i, ms in enumerate(shared.values()):
+        columns.append(F.percentile(argument(ms[0][1], schema), F.array(*[F.lit(float(m.p)) for _, m in ms])).alias(f"__percentiles{i}"))
+        out |= {alias: F.col(f"__percentiles{i}")[k].alias(alias) for k, (alias, _) in enumerate(ms)}
+    return columns, {alias: out[alias] for alias in request.measures}
+
+
 def top_n(df: DataFrame, request: Aggregate) -> DataFrame:
     top = request.top
     by = [top.partition_by] if isinstance(top.partition_by, str) else list(top.partition_by)
@@ -58,8 +76,11 @@ def grouped(df: DataFrame, request: Aggregate, table: Callable[[str], DataFrame]
     for alias, b in request.buckets.items():
         kind = paths.type_of(schema, b.field)
         keys.append((bucket(paths.column(schema, b.field), kind, b) if kind is not None else F.lit(None).cast("string")).alias(alias))
-    measures = [measure(m, schema).alias(alias) for alias, m in request.measures.items()]
-    out = df.groupBy(*keys).agg(*measures) if keys else df.agg(*measures)
+    names = [*request.groups, *request.buckets]
+    columns, parts = measures(request, schema)
+    out = df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
+    if any(c.startswith("__percentiles") for c in out.columns):
+        out = out.select(*[F.col(paths.quoted(n)) for n in names], *parts.values())
     out = apply_filter(out, request.having)
     return top_n(out, request) if request.top else out
 

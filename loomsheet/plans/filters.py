@@ -89,7 +89,7 @@ def or_(*parts: Filter) -> Filter:
 def not_(part: Filter) -> Filter:
     if part.op == "not":
         return part.parts[0]
-    return {TRUE: FALSE, FALSE: TRUE}.get(part) or Filter("not", parts=(part,))
+    return FALSE if part == TRUE else TRUE if part == FALSE else Filter("not", parts=(part,))
 
 
 def escape_like(text: str) -> str:

@@ -16,10 +16,13 @@ TIES = ("rank", "dense_rank", "row_number")
 
 @dataclass(frozen=True)
 class Measure:
+    """``accuracy`` makes a percentile approximate (its error is 1 / accuracy of the rows), in bounded memory."""
+
     op: str
     field: str | None = None
     where: Filter | Mapping[str, Any] | None = None
     p: float | None = None
+    accuracy: int | None = None
 
 
 @dataclass(frozen=True)

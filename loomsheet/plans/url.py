@@ -111,7 +111,7 @@ def parse_url(
         if len(key) > MAX_KEY:
             continue
         if key == "page" or key == "limit":
-            n = int(text) if re.fullmatch(r"\s*\+?\d+\s*", text) else 0
+            n = int(text) if re.fullmatch(r"\s*\+?\d{1,15}\s*", text) else 0
             if n > 0:
                 setattr(out, key, min(n, max_limit) if key == "limit" else n)
         elif key == "after":

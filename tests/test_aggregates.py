@@ -136,3 +136,28 @@ def test_offset_and_keyset_pages(spark):
     with pytest.raises(ValueError):
         paging.valid_page(10_001)
     assert paging.normal_sort({"id": -1, "a": 1}, "id") == {"a": 1, "id": -1} and paging.inverted({"a": 1}) == {"a": -1} and paging.primary_field({"id": 1}, "id") == "id"
+
+
+def test_text_without_an_offset_is_utc_in_any_session_zone(spark):
+    texts = ["2026-01-05T10:00:00", "2026-01-05 10:00:00", "2026-01-05T10:00:00Z", "2026-01-05T12:00:00+02:00", "2026-01-05T05:00:00.5-0500", "2026-01-05", "no date"]
+    df = spark.createDataFrame([(t,) for t in texts], "at string")
+    millis = spark.createDataFrame([(1767607200000,)], "at long")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("Asia/Tokyo", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = aggregate(df, Aggregate({"n": Measure("count")}, buckets={"hour": Bucket("at", "hour")})).collect()
+            assert {r["hour"]: r["n"] for r in rows} == {"2026-01-05T10:00": 5, "2026-01-05T00:00": 1, None: 1}
+            assert aggregate(millis, Aggregate({"n": Measure("count")}, buckets={"hour": Bucket("at", "hour")})).first()["hour"] == "2026-01-05T10:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_percentiles_of_one_column_share_a_buffer(spark, capsys):
+    df = spark.range(1, 101).selectExpr("id % 2 g", "cast(id as double) x")
+    m = {f"p{p}": Measure("percentile", "x", p=p / 100) for p in (50, 95)} | {"big": Measure("percentile", "x", p=0.5, where=f.gt("x", 50)), "n": Measure("count"), "near": Measure("percentile", "x", p=0.5, accuracy=1000)}
+    out = aggregate(df, Aggregate(m, "g", sort={"g": 1}))
+    assert out.columns == ["g", "p50", "p95", "big", "n", "near"]
+    assert [tuple(r) for r in out.collect()] == [(0, 51.0, 95.1, 76.0, 50, 50.0), (1, 50.0, 94.1, 75.0, 50, 49.0)]
+    out.explain()
+    assert capsys.readouterr().out.count("percentile(x#") <= 4  # two aggregates, partial and final

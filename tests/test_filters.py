@@ -138,3 +138,9 @@ def test_url():
     r = parse_url("populate=dept&populate[owner][select]=name,age&populate[owner][match][active]=true").populate
     assert [x.path for x in r] == ["dept", "owner"] and r[1].select == ["name", "age"] and r[1].match == {"active": "true"}
     assert len(parse_url("search=" + "x" * 300).search) == 200
+
+
+def test_not_of_any_value():
+    for leaf in (f.eq("a", [1]), f.eq("a", {"b": 1}), f.in_("a", [[1], {}])):
+        assert f.not_(leaf).op == "not" and f.not_(f.not_(leaf)) == leaf
+    assert f.not_(f.TRUE) == f.FALSE and f.not_(f.FALSE) == f.TRUE
