@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions.predicates import apply_filter
@@ -29,14 +31,17 @@ def _one_per_key(side: DataFrame, columns: list[str]) -> DataFrame:
     return side.groupBy(KEY).agg(F.min(F.struct(*columns)).alias("__row"))
 
 
+def _found(side: DataFrame, columns: list[str], single: bool) -> DataFrame:
+    if single:
+        return _one_per_key(side, columns).withColumnRenamed("__row", "__found")
+    return side.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__found"))
+
+
 def embed(base: DataFrame, lookup: Lookup, table: Callable[[str], DataFrame]) -> DataFrame:
     """Adds ``lookup.name``: an array of structs (empty on a miss), or one struct or null."""
     side, columns = _foreign(lookup, table)
     local = paths.column(base.schema, lookup.local)
-    if lookup.single:
-        found = _one_per_key(side, columns).withColumnRenamed("__row", "__found")
-    else:
-        found = side.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__found"))
+    found = _found(side, columns, lookup.single)
     out = base.join(found, local == F.col(KEY), "left").drop(KEY)
     value = F.col("__found") if lookup.single else F.coalesce("__found", F.array())
     return out.withColumn(lookup.name, value).drop("__found")
@@ -48,6 +53,33 @@ def embed_all(base: DataFrame, lookups: Sequence[Lookup], table: Callable[[str],
     return base
 
 
+def _at(row: Row, path: str) -> Any:
+    value: Any = row
+    for part in path.split("."):
+        value = None if value is None else value[part]
+    return value
+
+
+def embed_page(rows: Sequence[Row], schema: T.StructType, lookups: Sequence[Lookup], table: Callable[[str], DataFrame]) -> tuple[list[Row], T.StructType]:
+    """``embed_all`` for one page of rows that the driver holds: (rows, schema), in the page's order.
+
+    The foreign side is filtered by the page's keys at its scan, so only rows that the page
+    asks for are grouped and sent; a lookup may use what an earlier one found.
+    """
+    rows = list(rows)
+    for lookup in lookups:
+        keys = [_at(r, lookup.local) for r in rows]
+        side, columns = _foreign(lookup, table)
+        wanted = [k for k in dict.fromkeys(keys) if k is not None]
+        found = _found(side.filter(F.col(KEY).isin(*wanted)) if wanted else side.limit(0), columns, lookup.single)
+        by_key = {r[KEY]: r["__found"] for r in found.collect()} if wanted else {}
+        names = [x.name for x in schema if x.name != lookup.name]
+        make, miss = Row(*names, lookup.name), None if lookup.single else []
+        rows = [make(*(r[n] for n in names), by_key.get(k, miss)) for r, k in zip(rows, keys, strict=True)]
+        schema = T.StructType([x for x in schema if x.name != lookup.name] + [T.StructField(lookup.name, found.schema["__found"].dataType, True)])
+    return rows, schema
+
+
 def join_flat(base: DataFrame, lookups: Sequence[Lookup], table: Callable[[str], DataFrame]) -> DataFrame:
     """For aggregation: columns ``name.column``; many matches multiply rows unless ``single``."""
     for lookup in lookups:

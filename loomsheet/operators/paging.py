@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions.predicates import literal
-from .ordering import sorted_by
+from .ordering import project, sorted_by
 
 #: Fixed limits.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_PAGE, DEEP_PAGE, VERSION = 10, 100, 10_000, 100, 1
@@ -250,11 +250,20 @@ def keyset_plan(df: DataFrame, sort: Mapping[str, int], key: str | None, token:
     return sorted_by(df, sort).limit(limit + 1), sort
 
 
-def keyset_page(df: DataFrame, sort: Mapping[str, int], key: str | None, token: str | None, limit: int, allowed: Sequence[str] | None = None) -> KeysetPage:
+def keyset_page(df: DataFrame, sort: Mapping[str, int], key: str | None, token: str | None, limit: int, allowed: Sequence[str] | None = None, select: Sequence[str] | Mapping[str, int] | None = None) -> KeysetPage:
+    """``select`` trims the rows; what the cursor needs is read beside them."""
     plan, sort = keyset_plan(df, sort, key, token, limit, allowed)
-    rows = plan.collect()
+    if not select:
+        rows = plan.collect()
+        place = lambda r: r.asDict()
+    else:
+        names = project(plan, select).columns
+        shown = F.struct(*[paths.column(plan.schema, n).alias(n) for n in names]).alias("row")
+        rows = plan.select(shown, F.struct(*[paths.column(plan.schema, n).alias(n) for n in sort]).alias("place")).collect()
+        place = lambda r: r["place"].asDict()
     more = len(rows) > limit
-    return KeysetPage(rows[:limit], limit, more, encode_cursor(rows[limit - 1].asDict(), sort, key) if more else None)
+    last = encode_cursor(place(rows[limit - 1]), sort, key) if more else None
+    return KeysetPage([r["row"] for r in rows[:limit]] if select else rows[:limit], limit, more, last)
 
 
 def group_keyset_page(groups: DataFrame, sort: Mapping[str, int], keys: Sequence[str], token: str | None, limit: int) -> KeysetPage:

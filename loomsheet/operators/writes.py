@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -141,6 +141,15 @@ def purged(df: DataFrame, node: Any, mode: str, fields: Mapping[str, Any] | None
     raise ValueError(f"unknown purge mode {mode!r}")
 
 
+def per_row(function: Callable[[Any], Any], kind: str | T.DataType, *columns: str) -> Callable[[DataFrame], Column]:
+    """An anonymiser that is called with each row (or these columns of it): a Python function, sent in Arrow batches."""
+
+    def build(df: DataFrame) -> Column:
+        return F.udf(function, kind, useArrow=True)(F.struct(*(columns or df.columns)))
+
+    return build
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -7,11 +7,13 @@ rows and publish them as one new version.
 from __future__ import annotations
 
 import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,16 +21,16 @@ from .functions.predicates import apply_filter, family, fit_literals
 from .operators import paging, writes
 from .operators.aggregate import aggregate as aggregate_plan
 from .operators.aggregate import grouped
-from .operators.lookup import embed_all
-from .operators.ordering import orders, project, sorted_by
+from .operators.lookup import embed_page
+from .operators.ordering import project, sorted_by
 from .plans import filters as f
 from .plans.filters import Filter
 from .plans.records import record_to_filter
 from .plans.requests import Aggregate, Lookup, Update, combine_updates, is_update, set_fields, update
-from .plans.url import Parsed, parse_url
-from .runtime.cache import Cache, CacheOptions, cache_key
+from .plans.url import MAX_LIMIT, Parsed, parse_url
+from .runtime.cache import Cache, CacheOptions, cache_key, content_hash
 from .runtime.control import Aborted, Capabilities, RetryPolicy, StateMachine, Tenancy, guard_distribution, retry
-from .runtime.errors import Conflict, DuplicateKey, IllegalTransition, Invalid, NotFound, VersionConflict
+from .runtime.errors import Conflict, DuplicateKey, IllegalTransition, Invalid, NotFound, RepositoryError, TimedOut, VersionConflict
 from .runtime.hooks import OPERATIONS, VALIDATION, Hooks, Sealed
 from .sources.tables import SnapshotTable
 
@@ -99,29 +101,89 @@ class Repository:
     def rows(self, node: Any = None, **context: Any) -> DataFrame:
         return apply_filter(self.read(), self._scope(node, context))
 
-    def _run(self, op: str, context: dict, body: Callable[[dict], Any], params: Mapping[str, Any] | None = None) -> Any:
-        options: CacheOptions | None = context.pop("cache", None)
-        if self.cache and options and not OPERATIONS[op][1]:
-            version = self.source.version if isinstance(self.source, SnapshotTable) else 0
-            scope = str(context.get("tenant") or "")
-            key = cache_key(op, self.name, version + self.cache.version(self.name, scope), params or {}, scope)
-            return self.hooks.run(op, context, lambda c: self.cache.fetch(key, lambda: body(c), options))
-        result = self.hooks.run(op, context, body)
-        if self.cache and OPERATIONS[op][1]:
-            self.cache.bump(self.name, str(context.get("tenant") or ""))
+    def _run(self, op: str, context: Mapping[str, Any], body: Callable[[dict], Any]) -> Any:
+        """Hooks around a write; the cache forgets what it read of this table."""
+        result = self.hooks.run(op, dict(context), body)
+        if self.cache and OPERATIONS[op][1] and self._staged is None:
+            self.cache.bump(self.name)
             self.cache.invalidate_tags(self.name)
         return result
 
+    def _target(self, c: Mapping[str, Any]) -> Filter:
+        """The row an operation names by its id, as far as the hooks' policy lets it."""
+        return self._scope(f.and_(f.eq(self.key, c["id"]), record_to_filter(c["query"])), c)
+
+    def _read(self, op: str, context: Mapping[str, Any], node: Any, body: Callable[[Filter], Any], **params: Any) -> Any:
+        """Hooks, then policy, tenancy and soft delete, then the cache, then ``body`` of the final filter.
+
+        What is cached is named by the final filter and by all that ``body`` depends on, so no
+        reader is served what another may see.  Nothing is cached inside a transaction.  A
+        ``signal`` (an event) stops the read, before it starts or while its jobs run; a
+        ``retry`` policy repeats it.
+        """
+        context = dict(context)
+        options: CacheOptions | None = context.pop("cache", None)
+        signal, policy, limit = context.pop("signal", None), context.pop("retry", None), context.pop("max_time_ms", None)
+        key = OPERATIONS[op][0]
+
+        def answer(c: dict) -> Any:
+            scoped = self._target(c) if "id" in c and OPERATIONS[op][2] else self._scope(c[key], c)
+            work = lambda: self._stoppable(lambda: body(scoped), signal, limit)
+            if not (self.cache and options) or self._staged is not None:
+                return work()
+            at = self.source.version if isinstance(self.source, SnapshotTable) else 0
+            named = params | {"filter": repr(scoped), "at": [at, self.cache.version(self.name)], "key": options.key}
+            return self.cache.fetch(cache_key(op, self.name, at, named, content_hash(repr(scoped))[:16]), work, replace(options, key=None))
+
+        call = lambda: self.hooks.run(op, context | {key: node}, answer)
+        if policy is None:
+            return call()
+        return retry(call, policy, lambda e: not isinstance(e, (RepositoryError, ValueError, Aborted)), signal)
+
+    def _stoppable(self, body: Callable[[], Any], signal: threading.Event | None, ms: float | None) -> Any:
+        """``body``; its jobs are cancelled when the signal is set or the time has passed."""
+        if signal is not None and signal.is_set():
+            raise Aborted("aborted before the read")
+        if signal is None and not ms:
+            return body()
+        jobs, tag, over = self.spark.sparkContext, f"loomsheet-{uuid.uuid4().hex}", threading.Event()
+        why: list[Exception] = []
+
+        def watch() -> None:
+            until = None if not ms else time.monotonic() + ms / 1000
+            while not over.wait(0.02):
+                if signal is not None and signal.is_set():
+                    why.append(Aborted("aborted during the read"))
+                elif until is not None and time.monotonic() > until:
+                    why.append(TimedOut(f"the read took longer than {ms} ms"))
+                if why:
+                    jobs.cancelJobsWithTag(tag)
+                    return
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        jobs.addJobTag(tag)
+        watcher.start()
+        try:
+            return body()
+        except Exception as e:
+            raise why[0] from e if why else e
+        finally:
+            over.set()
+            jobs.removeJobTag(tag)
+
+    def _filtered(self, scoped: Filter) -> DataFrame:
+        return apply_filter(self.read(), scoped)
+
     def get_by_id(self, value: Any, **context: Any) -> Row | None:
-        return self._run("getById", context | {"id": value}, lambda c: self.rows(f.eq(self.key, c["id"]), **context).head(), {"id": value})
+        return self._read("getById", context | {"id": value}, f.TRUE, lambda s: self._filtered(s).head())
 
     def get_one(self, node: Any, sort: Mapping[str, int] | None = None, **context: Any) -> Row | None:
-        return self._run("getOne", context | {"query": node}, lambda c: sorted_by(self.rows(c["query"], **context), sort).head(), {"q": node, "s": sort})
+        return self._read("getOne", context, node, lambda s: sorted_by(self._filtered(s), sort).head(), sort=sort)
 
     get_by_query = get_one
 
     def get_by_ids(self, values: Sequence[Any], **context: Any) -> dict[str, Row]:
-        """Found rows by their id as text; an empty request asks nothing."""
+        """Found rows by their id as text, under the policy of single reads; an empty request asks nothing."""
         kind = family(self.schema[self.key].dataType)
         wanted = []
         for v in dict.fromkeys(v for v in values if v is not None):
@@ -131,58 +193,65 @@ class Repository:
                 continue
         if not wanted:
             return {}
-        return {str(r[self.key]): r for r in self.rows(f.in_(self.key, wanted), **context).collect()}
+        among = f.in_(self.key, wanted)
+        return self._read("getByIds", context, f.TRUE, lambda s: {str(r[self.key]): r for r in self._filtered(f.and_(among, s)).collect()}, ids=wanted)
 
     def find_all(self, node: Any = None, sort: Mapping[str, int] | None = None, limit: int | None = None, select: Any = None, **context: Any) -> list[Row]:
-        def body(c: dict) -> list[Row]:
-            df = project(sorted_by(self.rows(c["query"], **context), sort), select)
+        def body(scoped: Filter) -> list[Row]:
+            df = project(sorted_by(self._filtered(scoped), sort), select)
             return (df.limit(limit) if limit is not None else df).collect()
 
-        return self._run("findAll", context | {"query": node}, body, {"q": node, "s": sort, "l": limit, "p": select})
+        return self._read("findAll", context, node, body, sort=sort, limit=limit, select=select)
 
     def count(self, node: Any = None, **context: Any) -> int:
-        return self._run("count", context | {"query": node}, lambda c: self.rows(c["query"], **context).count(), {"q": node})
+        return self._read("count", context, node, lambda s: self._filtered(s).count())
 
     def exists(self, node: Any = None, **context: Any) -> bool:
-        return self._run("exists", context | {"query": node}, lambda c: not self.rows(c["query"], **context).isEmpty(), {"q": node})
+        return self._read("exists", context, node, lambda s: not self._filtered(s).isEmpty())
 
     def distinct(self, field: str, node: Any = None, **context: Any) -> list[Any]:
-        return self._run("distinct", context | {"query": node}, lambda c: [r[0] for r in self.rows(c["query"], **context).select(field).distinct().collect()], {"f": field, "q": node})
+        return self._read("distinct", context, node, lambda s: [r[0] for r in self._filtered(s).select(field).distinct().collect()], field=field)
 
     def cursor(self, node: Any = None, sort: Mapping[str, int] | None = None, **context: Any) -> Iterator[Row]:
         """Rows one by one, a partition at a time; by key unless a sort is given."""
-        return self.rows(node, **context).transform(sorted_by, sort or ({self.key: 1} if self.key else None)).toLocalIterator(prefetchPartitions=True)
+        order = sort or ({self.key: 1} if self.key else None)
+        context.pop("cache", None)
+        return self._read("cursor", context, node, lambda s: sorted_by(self._filtered(s), order).toLocalIterator(prefetchPartitions=True))
 
     def get_deleted(self, node: Any = None, **context: Any) -> list[Row]:
-        return self.rows(f.and_(record_to_filter(node), f.eq(self.soft_delete, True)), include_deleted=True, **context).collect()
+        gone = f.eq(self.soft_delete, True)
+        return self._read("getDeleted", context | {"include_deleted": True}, node, lambda s: self._filtered(f.and_(s, gone)).collect())
 
-    def search_filter(self, text: str) -> Filter:
+    def search_filter(self, text: str | None) -> Filter:
+        if not text:
+            return f.TRUE
         names = self.text_fields or [x.name for x in self.schema if family(x.dataType) == "string"]
         return f.or_(*(f.contains(n, text) for n in names))
 
-    def get_all(self, node: Any = None, *, page: int | None = None, after: str | None = None, sort: Mapping[str, int] | None = None, limit: int | None = None, search: str | None = None, select: Any = None, count: str = "exact", **context: Any) -> Any:
+    def get_all(self, node: Any = None, *, page: int | None = None, after: str | None = None, sort: Mapping[str, int] | None = None, limit: int | None = None, search: str | None = None, select: Any = None, count: str = "exact", most: int = paging.MAX_LIMIT, **context: Any) -> Any:
         """``page``: an offset page; ``sort`` or ``after``: a keyset page; neither: all rows."""
+        n = paging.valid_limit(limit, cap=most)
 
-        def body(c: dict) -> Any:
-            df = self.rows(f.and_(record_to_filter(c["filters"]), self.search_filter(search) if search else f.TRUE), **context)
+        def body(scoped: Filter) -> Any:
+            df = self._filtered(f.and_(scoped, self.search_filter(search)))
             if page is not None:
-                return paging.offset_page(project(df, select), sort, page, paging.valid_limit(limit), count)
+                return paging.offset_page(project(sorted_by(df, sort), select), None, page, n, count)
             if after is not None or sort:
-                return paging.keyset_page(df, sort or {self.key: 1}, self.key, after, paging.valid_limit(limit))
+                return paging.keyset_page(df, sort or {self.key: 1}, self.key, after, n, select=select)
             return project(df, select).collect()
 
-        return self._run("getAll", context | {"filters": node}, body, {"q": node, "page": page, "after": after, "sort": sort, "limit": limit, "search": search, "select": select})
+        return self._read("getAll", context, node, body, page=page, after=after, sort=sort, limit=n, search=search, select=select, count=count)
 
     def query(self, request: str | Mapping[str, Any] | Parsed, **context: Any) -> Any:
         """A URL query string, answered page by page."""
         p = request if isinstance(request, Parsed) else parse_url(request)
         node = fit_literals(p.filter, self.schema)
+        given = {"sort": p.sort, "after": p.after, "limit": p.limit, "select": p.select, "search": p.search, **context}
         if p.populate:
             lookups = [Lookup(x.path, x.path, "id", single=True, select=x.select, where=x.match or None) for x in p.populate]
-            return self.lookup_populate(lookups, node, sort=p.sort, page=p.page, after=p.after, limit=p.limit, select=p.select, **context)
-        if p.after or (p.sort and p.page is None and self.key):
-            return self.get_all(node, after=p.after, sort=p.sort, limit=p.limit, search=p.search, **context)
-        return self.get_all(node, page=p.page or 1, sort=p.sort, limit=p.limit, search=p.search, select=p.select, **context)
+            return self.lookup_populate(lookups, node, page=p.page, **given)
+        keyset = p.after or (p.sort and p.page is None and self.key)
+        return self.get_all(node, page=None if keyset else p.page or 1, most=MAX_LIMIT, **given)
 
     # ---- aggregation and lookups -------------------------------------------
 
@@ -191,71 +260,74 @@ class Repository:
 
     def aggregate(self, request: Aggregate, **context: Any) -> list[Row]:
         """Rows with dotted keys nested. A hint ``max_time_ms`` cancels the jobs when it has passed."""
-
-        def body(c: dict) -> list[Row]:
-            frame = self.aggregate_frame(request, nested=True, **context)
-            limit = request.hints.get("max_time_ms")
-            return frame.collect() if not limit else self._within(limit, frame)
-
-        return self._run("aggregate", dict(context), body, {"request": request})
-
-    def _within(self, ms: float, frame: DataFrame) -> list[Row]:
-        tag = f"loomsheet-{id(frame)}"
-        spark = frame.sparkSession
-        timer = threading.Timer(ms / 1000, lambda: spark.interruptTag(tag))
-        spark.addTag(tag)
-        timer.start()
-        try:
-            return frame.collect()
-        finally:
-            timer.cancel()
-            spark.removeTag(tag)
+        hints = {"max_time_ms": request.hints["max_time_ms"]} if request.hints.get("max_time_ms") else {}
+        body = lambda s: aggregate_plan(self._filtered(s), request, self.table, nested=True).collect()
+        return self._read("aggregate", hints | context, None, body, request=repr(request))
 
     def aggregate_paginate(self, request: Aggregate, page: int = 1, limit: int = 20, after: str | None = None, pagination: str = "offset", count: str = "exact", **context: Any) -> Any:
-        def body(c: dict) -> Any:
-            groups = grouped(self.rows(**context), request, self.table)
+        hints = {"max_time_ms": request.hints["max_time_ms"]} if request.hints.get("max_time_ms") else {}
+
+        def body(scoped: Filter) -> Any:
+            groups = grouped(self._filtered(scoped), request, self.table)
             if pagination == "keyset" or after:
-                out = paging.group_keyset_page(groups, request.sort, request.keys, after, paging.valid_limit(limit))
-            else:
-                out = paging.offset_page(groups, dict(request.sort) | {k: 1 for k in request.keys if k not in request.sort}, page, paging.valid_limit(limit), count)
-            return out
+                return paging.group_keyset_page(groups, request.sort, request.keys, after, paging.valid_limit(limit))
+            whole = dict(request.sort) | {k: 1 for k in request.keys if k not in request.sort}
+            return paging.offset_page(groups, whole, page, paging.valid_limit(limit), count)
 
-        return self._run("aggregatePaginate", dict(context), body, {"request": request, "page": page, "after": after, "limit": limit})
+        return self._read("aggregatePaginate", hints | context, None, body, request=repr(request), page=page, after=after, limit=limit, pagination=pagination, count=count)
 
-    def lookup_populate(self, lookups: Sequence[Lookup], node: Any = None, *, sort: Mapping[str, int] | None = None, page: int | None = None, after: str | None = None, limit: int = 20, select: Any = None, **context: Any) -> Any:
-        """Pages the base rows first, then joins only the page."""
+    def lookup_populate(self, lookups: Sequence[Lookup], node: Any = None, *, sort: Mapping[str, int] | None = None, page: int | None = None, after: str | None = None, limit: int = 20, select: Any = None, search: str | None = None, count: str = "exact", **context: Any) -> Any:
+        """Pages the base rows first, then looks up what the page's keys ask for."""
+        n = paging.valid_limit(limit, 20, 1000)
 
-        def body(c: dict) -> Any:
-            base = self.rows(node, **context)
-            n = paging.valid_limit(limit, 20, 1000)
+        def body(scoped: Filter) -> Any:
+            base = self._filtered(f.and_(scoped, self.search_filter(search)))
+            keep = {k: 1 for k, v in (select or {}).items() if v} if isinstance(select, Mapping) else select
+            roots = {x.local.split(".")[0] for x in lookups} - {x.name for x in lookups}
+            wanted = [*keep, *sorted(roots - set(keep))] if keep else select
             if after is not None:
-                plan, whole = paging.keyset_plan(base, sort or {self.key: 1}, self.key, after, n)
-                got = paging.keyset_page(base, sort or {self.key: 1}, self.key, after, n)
-                plan = plan.limit(n)
+                got = paging.keyset_page(base, sort or {self.key: 1}, self.key, after, n, select=wanted)
             else:
                 whole = dict(sort or ({self.key: 1} if self.key else {}))
-                plan = paging.offset_plan(base, whole, paging.valid_page(page or 1), n)
-                got = paging.offset_page(base, whole, page or 1, n)
-            # the page is already sorted: its order is kept as a number over the joins
-            order = W.orderBy(*orders(plan.schema, whole)) if whole else W.orderBy(F.lit(1))
-            placed = plan.withColumn("__at", F.row_number().over(order))  # one page of rows
-            keep = {k: 1 for k, v in (select or {}).items() if v} if isinstance(select, Mapping) else select
-            trimmed = project(placed, ["__at", *keep, *(x.local for x in lookups if x.local not in keep)] if keep else select)
-            got.data = embed_all(trimmed, lookups, self.table).orderBy("__at").drop("__at").collect()
+                got = paging.offset_page(project(sorted_by(base, whole), wanted), None, page or 1, n, count)
+            got.data, _ = embed_page(got.data, project(base, wanted).schema, lookups, self.table)
             return got
 
-        return self._run("lookupPopulate", dict(context), body, {"lookups": list(lookups), "q": node, "page": page, "after": after, "limit": limit, "sort": sort})
+        return self._read("lookupPopulate", context, node, body, lookups=repr(list(lookups)), page=page, after=after, limit=n, sort=sort, select=select, search=search, count=count)
 
     # ---- writes ------------------------------------------------------------
 
-    def _publish(self, plan: Callable[[DataFrame], DataFrame]) -> None:
+    def _publish(self, plan: Callable[[DataFrame], DataFrame], hit: Filter) -> None:
+        """The next version; only files that hold a row of ``hit`` are written anew."""
         if self._staged is not None:
             self._staged = plan(self._staged)
             return
         if not isinstance(self.source, SnapshotTable):
             raise Invalid(f'"{self.name}" is read only')
-        expected = self.source.version
-        self.source.publish(plan(self.source.read()), expected)
+        self.source.rewrite(lambda schema: writes.matching(schema, hit), plan, self.source.version)
+
+    def _insert(self, docs: Sequence[Mapping[str, Any]]) -> None:
+        self._check_unique(docs)
+        if self._staged is not None:
+            self._staged = writes.inserted(self._staged, docs)
+        elif not isinstance(self.source, SnapshotTable):
+            raise Invalid(f'"{self.name}" is read only')
+        else:
+            expected = self.source.version
+            self.source.append(writes.rows_of(self.source.read(), docs), expected)
+
+    def _guard_unique(self, hit: Filter, change: Update) -> None:
+        """An update may not give a row a unique key that another row holds, or give two rows one."""
+        touched = {*change.set, *change.inc, *change.unset}
+        for keys in [(self.key,), *self.unique] if self.key else self.unique:
+            if not touched & set(keys):
+                continue
+            df, many = self.read(), f"duplicate key {tuple(keys)}"
+            there = writes.matching(df.schema, hit)
+            new = writes.changed(df.filter(there), F.lit(True), change).select(*keys).dropna()
+            twice = not writes.duplicates(new, keys).isEmpty()
+            if twice or not df.filter(~there).join(new, list(keys), "left_semi").isEmpty():
+                raise DuplicateKey(many, {"fields": list(keys)})
 
     def _check_unique(self, docs: Sequence[Mapping[str, Any]]) -> None:
         for keys in [(self.key,), *self.unique] if self.key else self.unique:
@@ -274,18 +346,16 @@ class Repository:
 
     def create_many(self, docs: Sequence[Mapping[str, Any]], **context: Any) -> list[dict]:
         def body(c: dict) -> list[dict]:
-            new = self._stamp(c["data"], context)
-            self._check_unique(new)
-            self._publish(lambda df: writes.inserted(df, new))
+            new = self._stamp(c["data"], c)
+            self._insert(new)
             return new
 
         return self._run("createMany", context | {"data": list(docs)}, body)
 
     def create(self, doc: Mapping[str, Any], **context: Any) -> dict:
         def body(c: dict) -> dict:
-            new = self._stamp([c["data"]], context)
-            self._check_unique(new)
-            self._publish(lambda df: writes.inserted(df, new))
+            new = self._stamp([c["data"]], c)
+            self._insert(new)
             return new[0]
 
         return self._run("create", context | {"data": dict(doc)}, body)
@@ -294,7 +364,8 @@ class Repository:
         change = change if is_update(change) else update(set=change)
 
         def body(c: dict) -> dict[str, int]:
-            scoped = self._scope(c["query"], context)
+            scoped = self._scope(c["query"], c)
+            self._guard_unique(scoped, change)
             before = apply_filter(self.read(), scoped)
             same = writes.changed(before, F.lit(True), change)
             names = [n for n in same.columns if n in before.columns and n in {**change.set, **change.inc, **dict.fromkeys(change.unset)}]
@@ -304,7 +375,8 @@ class Repository:
             for n in names:
                 differs = differs | ~F.col(n).eqNullSafe(F.col(f"__{n}"))
             n, m = after.agg(F.count(F.lit(1)), F.count(F.when(differs, 1))).first()
-            self._publish(lambda df: writes.updated(df, scoped, change))
+            if m:
+                self._publish(lambda df: writes.updated(df, scoped, change), scoped)
             return {"matchedCount": n, "modifiedCount": m}
 
         return self._run("updateMany", context | {"query": node}, body)
@@ -313,7 +385,7 @@ class Repository:
         change = change if is_update(change) else update(set=change)
 
         def body(c: dict) -> Row | None:
-            node = self._scope(f.eq(self.key, value), context)
+            node = self._target(c)
             row = apply_filter(self.read(), node).head()
             if row is None:
                 return None
@@ -322,51 +394,63 @@ class Repository:
                 if row[self.version_field] != if_version:
                     raise VersionConflict(f"version {row[self.version_field]} is not {if_version}", {"id": value})
                 step = combine_updates(change, update(inc={self.version_field: 1}))
-            self._publish(lambda df: writes.updated(df, node, step))
-            return apply_filter(self.read(), f.eq(self.key, value)).head()
+            self._guard_unique(node, step)
+            self._publish(lambda df: writes.updated(df, node, step), node)
+            return apply_filter(self.read(), f.eq(self.key, step.set.get(self.key, c["id"]))).head()
 
-        return self._run("update", context | {"id": value}, body)
+        return self._run("update", context | {"id": value, "query": f.TRUE}, body)
 
-    def delete_many(self, node: Any, mode: str | None = None, **context: Any) -> dict[str, int]:
-        def body(c: dict) -> dict[str, int]:
-            scoped = self._scope(c["query"], context)
-            n = apply_filter(self.read(), scoped).count()
-            kind = mode or ("soft" if self.soft_delete else "hard")
-            self._publish(lambda df: writes.purged(df, scoped, kind, deleted_field=self.soft_delete or "deleted"))
-            return {"deletedCount": n}
+    def _delete(self, scoped: Filter, mode: str | None) -> int:
+        n = apply_filter(self.read(), scoped).count()
+        kind = mode or ("soft" if self.soft_delete else "hard")
+        if n:
+            self._publish(lambda df: writes.purged(df, scoped, kind, deleted_field=self.soft_delete or "deleted"), scoped)
+        return n
 
-        return self._run("deleteMany", context | {"query": node}, body)
+    def delete_many(self, node: Any, mode: str | None = None, **context: Any) -> dict[str, int]:
+        return self._run("deleteMany", context | {"query": node}, lambda c: {"deletedCount": self._delete(self._scope(c["query"], c), mode)})
 
     def delete(self, value: Any, mode: str | None = None, **context: Any) -> Any:
-        if self.get_by_id(value, **context) is None:
-            return None
-        return self._run("delete", context | {"id": value}, lambda c: self.delete_many(f.eq(self.key, c["id"]), mode, **context) and {"id": value})
+        return self._run("delete", context | {"id": value, "query": f.TRUE}, lambda c: {"id": c["id"]} if self._delete(self._target(c), mode) else None)
 
     def restore(self, value: Any, **context: Any) -> Row | None:
-        return self._run("restore", context | {"id": value}, lambda c: self.update(value, set_fields(**{self.soft_delete: False}), include_deleted=True, **context))
+        change = set_fields(**{self.soft_delete: False})
+
+        def body(c: dict) -> Row | None:
+            node = self._target(c | {"include_deleted": True})
+            if apply_filter(self.read(), node).isEmpty():
+                return None
+            self._publish(lambda df: writes.updated(df, node, change), node)
+            return apply_filter(self.read(), f.eq(self.key, c["id"])).head()
+
+        return self._run("restore", context | {"id": value, "query": f.TRUE}, body)
 
     def find_one_and_update(self, node: Any, change: Update, sort: Mapping[str, int] | None = None, image: str = "after", upsert: bool = False, **context: Any) -> Any:
         def body(c: dict) -> Any:
-            scoped = self._scope(c["query"], context)
+            scoped = self._scope(c["query"], c)
             row = writes.first_match(self.read(), scoped, sort or {}, self.key).head()
             if row is None:
                 if not upsert:
                     return None
-                doc = self._stamp([writes.insert_document(record_to_filter(node), change)], context)[0]
-                self._publish(lambda df: writes.inserted(df, [doc]))
+                doc = self._stamp([writes.insert_document(record_to_filter(c["query"]), change)], c)[0]
+                self._insert([doc])
                 return doc if image == "after" else None
             one = f.eq(self.key, row[self.key])
-            self._publish(lambda df: writes.updated(df, one, change))
-            return row if image == "before" else apply_filter(self.read(), one).head()
+            self._guard_unique(one, change)
+            self._publish(lambda df: writes.updated(df, one, change), one)
+            return row if image == "before" else apply_filter(self.read(), f.eq(self.key, change.set.get(self.key, row[self.key]))).head()
 
         return self._run("findOneAndUpdate", context | {"query": node}, body)
 
     def get_or_create(self, node: Any, defaults: Mapping[str, Any], **context: Any) -> dict[str, Any]:
-        row = self.get_one(node, **context)
-        if row is not None:
-            return {"doc": row, "created": False}
-        doc = writes.insert_document(record_to_filter(node), update(set=dict(defaults)))
-        return {"doc": self.create(doc, **context), "created": True}
+        def body(c: dict) -> dict[str, Any]:
+            row = apply_filter(self.read(), self._scope(c["query"], c)).head()
+            if row is not None:
+                return {"doc": row, "created": False}
+            doc = writes.insert_document(record_to_filter(node), update(set=dict(defaults)))
+            return {"doc": self.create(doc, **context), "created": True}
+
+        return self._run("getOrCreate", context | {"query": node}, body)
 
     def bulk_write(self, operations: Sequence[Mapping[str, Any]], **context: Any) -> dict[str, int]:
         """insertOne, updateOne, updateMany, deleteOne, deleteMany, replaceOne; in order, one version."""
@@ -407,23 +491,25 @@ class Repository:
         """Compare and set; None if another was first."""
 
         def body(c: dict) -> Row | None:
-            node = self._scope(writes.claim_filter(self.key, value, field, from_, where), context)
+            node = f.and_(self._target(c), writes.claim_filter(self.key, c["id"], field, from_, where))
             if apply_filter(self.read(), node).isEmpty():
                 return None
-            self._publish(lambda df: writes.claimed(df, node, field, to, patch))
-            return apply_filter(self.read(), f.eq(self.key, value)).head()
+            self._guard_unique(node, combine_updates(patch or Update(), set_fields(**{field: to})))
+            self._publish(lambda df: writes.claimed(df, node, field, to, patch), node)
+            return apply_filter(self.read(), f.eq(self.key, c["id"])).head()
 
-        return self._run("claim", context | {"id": value}, body)
+        return self._run("claim", context | {"id": value, "query": f.TRUE}, body)
 
     def claim_version(self, value: Any, version: Any, by: int = 1, patch: Update | None = None, **context: Any) -> Row | None:
         def body(c: dict) -> Row | None:
             same = f.is_null(self.version_field) if version is None else f.eq(self.version_field, version)
-            if apply_filter(self.read(), self._scope(f.and_(f.eq(self.key, value), same), context)).isEmpty():
+            node = f.and_(self._target(c), same)
+            if apply_filter(self.read(), node).isEmpty():
                 return None
-            self._publish(lambda df: writes.version_claimed(df, self.key, value, version, by, self.version_field, patch))
-            return apply_filter(self.read(), f.eq(self.key, value)).head()
+            self._publish(lambda df: writes.version_claimed(df, self.key, c["id"], version, by, self.version_field, patch), node)
+            return apply_filter(self.read(), f.eq(self.key, c["id"])).head()
 
-        return self._run("claimVersion", context | {"id": value}, body)
+        return self._run("claimVersion", context | {"id": value, "query": f.TRUE}, body)
 
     def apply_transition(self, value: Any, machine: StateMachine, to: str, history: str | None = None, patch: Update | None = None, **context: Any) -> Row:
         """A checked state change with an entry in the row's history; says why if it cannot be."""
@@ -454,6 +540,9 @@ class Repository:
         finally:
             self._staged = None
         self.source.publish(staged, expected)
+        if self.cache:
+            self.cache.bump(self.name)
+            self.cache.invalidate_tags(self.name)
         return result
 
     def retrying_transaction(self, body: Callable[[Repository], Any], policy: RetryPolicy = RetryPolicy()) -> Any:
@@ -468,70 +557,123 @@ class Repository:
         """
         if mode == "skip":
             return {"ok": True, "processed": 0, "skipped": True, "reason": reason}
-        scoped = self._scope(node, context | {"include_deleted": True})
-        done, last = 0, None
-        try:
-            if batch is None:
-                done = apply_filter(self.read(), scoped).count()
-                self._publish(lambda df: writes.purged(df, scoped, mode, fields, self.soft_delete or "deleted"))
-                if progress:
-                    progress(done)
-                return {"ok": True, "processed": done}
-            if batch < 1:
-                raise Invalid("batch must be positive")
-            while True:
-                if aborted is not None and aborted.is_set():
-                    raise Aborted("aborted between chunks")
-                ahead = scoped if last is None else f.and_(scoped, f.gt(self.key, last))
-                keys = [r[0] for r in apply_filter(self.read(), ahead).select(self.key).orderBy(self.key).limit(batch).collect()]
-                if keys:
-                    part = f.and_(ahead, f.lte(self.key, keys[-1]))
-                    self._publish(lambda df, part=part: writes.purged(df, part, mode, fields, self.soft_delete or "deleted"))
-                    done, last = done + len(keys), keys[-1]
+        if batch is not None and batch < 1:
+            raise Invalid("batch must be positive")
+
+        def body(c: dict) -> dict[str, Any]:
+            scoped = self._scope(c["query"], c | {"include_deleted": True})
+            plan = lambda part: lambda df: writes.purged(df, part, mode, fields, self.soft_delete or "deleted")
+            done, last = 0, None
+            try:
+                if batch is None:
+                    done = apply_filter(self.read(), scoped).count()
+                    self._publish(plan(scoped), scoped)
                     if progress:
                         progress(done)
-                if len(keys) < batch:
                     return {"ok": True, "processed": done}
-        except Aborted as e:
-            return {"ok": False, "processed": done, "error": str(e)}
-        except Invalid:
-            raise
-        except Exception as e:
-            return {"ok": False, "processed": done, "error": f"{type(e).__name__}: {e}"}
-
-    def archive(self, node: Any, sink: Any, batch: int | None = None, progress: Callable[[int], Any] | None = None, **context: Any) -> dict[str, Any]:
-        """Rows are written to the sink before they are deleted; a failing sink deletes nothing."""
-        scoped = self._scope(node, context | {"include_deleted": True})
-        done, number, phase = 0, 0, "read"
-        try:
-            while True:
-                phase = "read"
-                rows = apply_filter(self.read(), scoped)
-                part = scoped
-                if batch is not None:
-                    keys = [r[0] for r in rows.select(self.key).orderBy(self.key).limit(batch).collect()]
-                    if not keys:
-                        break
-                    part = f.and_(scoped, f.lte(self.key, keys[-1]))
+                while True:
+                    if aborted is not None and aborted.is_set():
+                        raise Aborted("aborted between chunks")
+                    ahead = scoped if last is None else f.and_(scoped, f.gt(self.key, last))
+                    keys = self._keys(ahead, batch)
+                    if keys:
+                        part = f.and_(ahead, f.lte(self.key, keys[-1]))
+                        self._publish(plan(part), part)
+                        done, last = done + len(keys), keys[-1]
+                        if progress:
+                            progress(done)
+                    if len(keys) < batch:
+                        return {"ok": True, "processed": done}
+            except Invalid:
+                raise
+            except Exception as e:
+                return {"ok": False, "processed": done, "error": str(e) if isinstance(e, Aborted) else f"{type(e).__name__}: {e}"}
+
+        return self._run("purge", context | {"query": node}, body)
+
+    def _keys(self, node: Filter, n: int) -> list[Any]:
+        """The least n keys of the rows."""
+        return [r[0] for r in apply_filter(self.read(), node).select(self.key).orderBy(self.key).limit(n).collect()]
+
+    def archive(self, node: Any, sink: Any, batch: int | None = None, progress: Callable[[int], Any] | None = None, aborted: threading.Event | None = None, **context: Any) -> dict[str, Any]:
+        """Rows are written to the sink before they are deleted; a failing sink deletes nothing.
+
+        Each batch has a name of its own, so runs never overwrite each other.  A batch that
+        was written but not deleted is written again by the next run; sinks take rows by their
+        primary key, so it is stored once.
+        """
+        if batch is not None and batch < 1:
+            raise Invalid("batch must be positive")
+        if getattr(sink, "key", "") is None:
+            sink.key = self.key
+
+        def body(c: dict) -> dict[str, Any]:
+            scoped = self._scope(c["query"], c | {"include_deleted": True})
+            run, done, number, phase = uuid.uuid4().hex[:12], 0, 0, "read"
+            try:
+                while True:
+                    if aborted is not None and aborted.is_set():
+                        raise Aborted("aborted between batches")
+                    phase, part = "read", scoped
+                    if batch is not None:
+                        keys = self._keys(scoped, batch)
+                        if not keys:
+                            break
+                        part = f.and_(scoped, f.lte(self.key, keys[-1]))
                     rows = apply_filter(self.read(), part)
-                n = rows.count()
-                if n:
-                    phase = "write"
-                    sink.write(rows, number)
-                    phase = "delete"
-                    self._publish(lambda df, part=part: writes.deleted(df, part))
-                done, number = done + n, number + 1
-                if progress:
-                    progress(done)
-                if batch is None or n < batch:
-                    break
-            phase = "flush"
-            sink.flush()
-            return {"ok": True, "archived": done}
-        except Exception as e:
-            return {"ok": False, "archived": done, "phase": phase, "error": f"{type(e).__name__}: {e}"}
+                    n = rows.count()
+                    if n:
+                        phase = "write"
+                        sink.write(rows, f"{run}-{number}")
+                        phase = "delete"
+                        self._publish(lambda df, part=part: writes.deleted(df, part), part)
+                    done, number = done + n, number + 1
+                    if progress:
+                        progress(done)
+                    if batch is None or n < batch:
+                        break
+                phase = "flush"
+                sink.flush()
+                return {"ok": True, "archived": done}
+            except Exception as e:
+                return {"ok": False, "archived": done, "phase": phase, "error": f"{type(e).__name__}: {e}"}
+
+        return self._run("archive", context | {"query": node}, body)
+
+    def purge_step(self, node: Any, mode: str = "hard", fields: Mapping[str, Any] | None = None, remaining: Any = None, **options: Any) -> dict[str, Callable[[], Any]]:
+        """blockers, estimate, execute and verify of one clean-up.
+
+        Without a scope (no filter, or a null value in it) it is blocked: nothing is purged.
+        ``verify`` asks the table again, in every mode: no row of the scope may still match
+        ``remaining``.  By default that is any row (hard), one not marked (soft), or one that
+        lacks a constant of ``fields`` (anonymize; with other fields, ``remaining`` must be given).
+        """
+        values = list(node.values()) if isinstance(node, Mapping) else None
+        missing = node is None or (values is not None and (not values or any(v is None for v in values))) or record_to_filter(node) == f.TRUE
+        context = {"include_deleted": True} | {k: v for k, v in options.items() if k in ("tenant", "skip_tenant")}
+        count = lambda more=f.TRUE: apply_filter(self.read(), self._scope(f.and_(record_to_filter(node), more), context)).count()
+
+        def left() -> Filter | None:
+            if remaining is not None:
+                return record_to_filter(remaining)
+            if mode == "soft":
+                marked = self.soft_delete or "deleted"
+                return f.or_(f.is_null(marked), f.eq(marked, False))
+            if mode == "anonymize":
+                if not fields or any(callable(v) or isinstance(v, Column) for v in fields.values()):
+                    return None
+                return f.or_(*(f.is_not_null(k) if v is None else f.or_(f.is_null(k), f.ne(k, v)) for k, v in fields.items()))
+            return f.TRUE
+
+        def verify() -> bool:
+            if missing or mode == "skip":
+                return not missing
+            rest = left()
+            return rest is not None and count(rest) == 0
+
+        def execute() -> dict[str, Any]:
+            if missing:
+                return {"ok": False, "processed": 0, "error": "the scope is missing"}
+            return self.purge(node, mode, fields, **options)
 
-    def purge_step(self, node: Any, mode: str = "hard", **options: Any) -> dict[str, Callable[[], Any]]:
-        """estimate, execute and verify of one clean-up."""
-        count = lambda: apply_filter(self.read(), self._scope(node, {"include_deleted": True, **{k: v for k, v in options.items() if k == "tenant"}})).count()
-        return {"estimate": count, "execute": lambda: self.purge(node, mode, **options), "verify": lambda: count() == 0 if mode == "hard" else True}
+        return {"blockers": lambda: ["scope_required"] if missing else [], "estimate": lambda: 0 if missing else count(), "execute": execute, "verify": verify}

@@ -7,6 +7,12 @@ from typing import Any
 #: Fixed codes by status.
 CODES = {400: "BAD_REQUEST", 401: "UNAUTHORIZED", 403: "FORBIDDEN", 404: "NOT_FOUND", 409: "CONFLICT", 422: "VALIDATION_ERROR", 429: "RATE_LIMITED", 500: "INTERNAL_ERROR", 503: "UNAVAILABLE"}
 
+#: Fixed codes on the wire by status; any other status is an internal error.
+WIRE = {
+    400: "validation_error", 401: "unauthorized", 403: "forbidden", 404: "not_found", 409: "conflict", 412: "precondition_failed",
+    422: "validation_error", 429: "rate_limited", 500: "internal_error", 503: "service_unavailable", 504: "timeout",
+}
+
 
 class RepositoryError(Exception):
     status = 500
@@ -46,6 +52,14 @@ class IllegalTransition(RepositoryError):
     status = 409
 
 
+class PreconditionFailed(RepositoryError):
+    status = 412
+
+
+class TimedOut(RepositoryError):
+    status = 504
+
+
 class ReadOnly(RepositoryError):
     status = 403
 
@@ -56,3 +70,9 @@ class Unsupported(RepositoryError):
 
 def to_contract(e: BaseException) -> dict[str, Any]:
     return e.contract() if isinstance(e, RepositoryError) else {"code": CODES[400 if isinstance(e, ValueError) else 500], "message": str(e), "status": 400 if isinstance(e, ValueError) else 500}
+
+
+def to_wire(e: BaseException) -> dict[str, Any]:
+    """The contract with the codes that clients switch on; an error's own ``code`` goes first."""
+    out = to_contract(e)
+    return out | {"code": getattr(e, "code", None) or WIRE.get(out["status"], WIRE[500])}

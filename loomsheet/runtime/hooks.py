@@ -12,16 +12,18 @@ POLICY, VALIDATION, CACHE, OBSERVABILITY, DEFAULT = 100, 150, 200, 300, 500
 
 #: operation: (policy key, mutates, has an id)
 OPERATIONS = {
-    "getById": ("id", False, True), "getByQuery": ("query", False, False), "getOne": ("query", False, False),
+    "getById": ("query", False, True), "getByIds": ("query", False, False), "cursor": ("query", False, False), "getDeleted": ("query", False, False),
+    "getOrCreate": ("query", False, False), "getByQuery": ("query", False, False), "getOne": ("query", False, False),
     "getAll": ("filters", False, False), "findAll": ("query", False, False), "count": ("query", False, False),
     "exists": ("query", False, False), "distinct": ("query", False, False), "aggregate": ("query", False, False),
     "aggregatePaginate": ("filters", False, False), "lookupPopulate": ("filters", False, False),
-    "create": ("data", True, False), "createMany": ("dataArray", True, False), "update": ("id", True, True),
-    "updateMany": ("query", True, False), "findOneAndUpdate": ("query", True, False), "delete": ("id", True, True),
-    "deleteMany": ("query", True, False), "restore": ("id", True, True), "claim": ("id", True, True),
-    "claimVersion": ("id", True, True), "bulkWrite": ("operations", True, False),
+    "create": ("data", True, False), "createMany": ("dataArray", True, False), "update": ("query", True, True),
+    "updateMany": ("query", True, False), "findOneAndUpdate": ("query", True, False), "delete": ("query", True, True),
+    "deleteMany": ("query", True, False), "restore": ("query", True, True), "claim": ("query", True, True),
+    "claimVersion": ("query", True, True), "bulkWrite": ("operations", True, False), "purge": ("query", True, False), "archive": ("query", True, False),
 }
-READS = frozenset(k for k, (_, mutates, _) in OPERATIONS.items() if not mutates) | {"getByIds", "cursor", "getDeleted", "watch", "read", "schema", "key", "name", "capabilities", "changes"}
+#: getOrCreate is a read to policies, but may insert: a sealed repository has it not.
+READS = frozenset(k for k, (_, mutates, _) in OPERATIONS.items() if not mutates) - {"getOrCreate"} | {"watch", "read", "schema", "key", "name", "capabilities", "changes"}
 
 
 class Hooks:

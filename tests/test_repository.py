@@ -4,7 +4,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from loomsheet.operators.writes import per_row
 from loomsheet.plans import filters as f
+from loomsheet.plans.records import record_to_filter
 from loomsheet.plans.requests import Aggregate, Lookup, Measure, TopN, combine_updates, inc_fields, set_fields, set_on_insert_fields, unset_fields, update
 from loomsheet.repository import Repository
 from loomsheet.runtime import control, errors
@@ -254,3 +256,201 @@ def test_locks_retries_guards():
     off()
     h.emit("before:x", {})
     assert order == [1, 2, 2]
+
+
+def test_archive_runs_to_one_sink_lose_nothing(spark, repo, tmp_path):
+    sink = ParquetSink(f"{tmp_path}/archive")
+    assert repo.archive(f.lt("count", 3), sink)["archived"] == 3 and repo.archive(f.lt("count", 6), sink, batch=2)["archived"] == 3
+    stored = lambda: sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/archive").collect())
+    assert repo.count() == 4 and stored() == [f"u{i}" for i in range(6)]
+
+
+def test_a_batch_written_but_not_deleted_is_stored_once(spark, repo, tmp_path):
+    class Late(ParquetSink):
+        """Fails after its second batch is stored."""
+
+        calls = 0
+
+        def write(self, rows, batch):
+            super().write(rows, batch)
+            self.calls += 1
+            if self.calls == 2:
+                raise OSError("gone")
+
+    sink = Late(f"{tmp_path}/archive")
+    out = repo.archive(f.lt("count", 6), sink, batch=2)
+    assert not out["ok"] and out["phase"] == "write" and out["archived"] == 2 and repo.count() == 8
+    repo.update("u2", {"category": "changed"})
+    assert repo.archive(f.lt("count", 6), sink, batch=3) == {"ok": True, "archived": 4}
+    rows = spark.read.parquet(f"{tmp_path}/archive").collect()
+    assert sorted(r["id"] for r in rows) == [f"u{i}" for i in range(6)] and repo.count() == 4
+    assert {r["category"] for r in rows if r["id"] == "u2"} == {"changed"}
+
+
+def test_cache_keeps_readers_apart(repo):
+    o = CacheOptions(stale_time=60)
+    r = Repository("users", repo.source, cache=Cache(), soft_delete="deleted", tenancy=control.Tenancy())
+    assert r.count(cache=o, skip_tenant=True) == 10 and r.count(cache=o, tenant="org-a") == 6 and r.count(cache=o, tenant="org-b") == 4
+    r.delete("u1", tenant="org-a")
+    assert r.count(cache=o, tenant="org-a", include_deleted=True) == 6 and r.count(cache=o, tenant="org-a") == 5
+    assert r.get_all(page=1, count="none", cache=o, tenant="org-a").total == 0 and r.get_all(page=1, cache=o, tenant="org-a").total == 5
+    # a policy set by a hook takes part
+    guest = r.hooks.on("before:count", lambda c: c.update(query={"id": "u2"}))
+    assert r.count(cache=o, tenant="org-a") == 1
+    guest()
+    assert r.count(cache=o, tenant="org-a") == 5
+    custom = Repository("users", repo.source, cache=r.cache, tenancy=control.Tenancy("custom", resolve=lambda c: f.eq("category", c["who"])))
+    assert [custom.count(cache=o, who=w) for w in ("admin", "reader", "admin")] == [3, 4, 3]
+    calls = []
+    r.hooks.on("after:count", lambda c: calls.append(c["result"]))
+    version = r.source.version
+    assert r.count(cache=o, tenant="org-b") == r.count(cache=o, tenant="org-b") == 4 and calls == [4, 4] and r.source.version == version
+
+
+def test_rolled_back_reads_are_not_kept(repo):
+    r, o = Repository("users", repo.source, cache=Cache()), CacheOptions(stale_time=60)
+
+    def body(t):
+        t.delete_many({"category": "admin"})
+        assert t.count(cache=o) == 7
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        r.transaction(body)
+    assert r.count(cache=o) == 10
+    r.transaction(lambda t: t.delete_many({"category": "admin"}))
+    assert r.count(cache=o) == 7
+
+
+def test_unique_keys_on_every_write(repo):
+    for write in (
+        lambda: repo.update("u1", {"name": "n2"}),
+        lambda: repo.update("u1", {"id": "u2"}),
+        lambda: repo.update_many({"category": "admin"}, {"name": "same"}),
+        lambda: repo.update_many({"id": "u1"}, {"name": "n2"}),
+        lambda: repo.find_one_and_update({"id": "u1"}, set_fields(name="n2")),
+        lambda: repo.find_one_and_update({"id": "new"}, set_fields(name="n2"), upsert=True),
+        lambda: repo.get_or_create({"id": "new"}, {"name": "n2"}),
+        lambda: repo.claim("u1", "name", "n1", "n2"),
+        lambda: repo.bulk_write([{"updateOne": {"filter": {"id": "c"}, "update": {"name": "n2"}, "upsert": True}}]),
+    ):
+        with pytest.raises(errors.DuplicateKey):
+            write()
+    assert repo.count() == 10 and len(repo.distinct("name")) == 10
+    assert repo.update("u1", {"name": "n1", "count": 3})["count"] == 3 and repo.update("u1", {"name": None})["name"] is None
+    assert repo.update("u2", {"name": None})["name"] is None  # nulls are no keys
+
+
+def test_policies_reach_every_verb(spark, repo, tmp_path):
+    r = Repository("users", repo.source, soft_delete="deleted", key="id")
+    for op in ("getById", "getByIds", "cursor", "update", "delete", "restore", "claim", "claimVersion", "purge", "archive", "aggregate", "aggregatePaginate", "lookupPopulate", "getDeleted", "getOrCreate", "updateMany", "findOneAndUpdate"):
+        key = "filters" if op in ("aggregatePaginate", "lookupPopulate") else "query"
+        r.hooks.on(f"before:{op}", lambda c, key=key: c.update({key: f.and_(f.eq("organizationId", "org-a"), record_to_filter(c[key]))}), 100)
+    assert r.get_by_id("u7") is None and r.get_by_id("u1")["id"] == "u1" and set(r.get_by_ids(["u1", "u7"])) == {"u1"}
+    assert len(list(r.cursor())) == 6 and r.update("u7", {"name": "x"}) is None and r.delete("u7") is None
+    assert r.claim("u7", "category", "admin", "x") is None and r.claim_version("u7", 1) is None
+    assert r.update_many({}, {"active": True})["matchedCount"] == 6 and r.find_one_and_update({"id": "u8"}, set_fields(name="x")) is None
+    assert r.aggregate(Aggregate({"n": Measure("count")}))[0]["n"] == 6
+    assert r.aggregate_paginate(Aggregate({"n": Measure("count")}, "organizationId")).total == 1
+    assert r.lookup_populate([], limit=50).total == 6
+    assert r.delete("u1") == {"id": "u1"} and [x["id"] for x in r.get_deleted()] == ["u1"] and r.restore("u7") is None and r.restore("u1")["id"] == "u1"
+    assert r.archive({"id": ["u6", "u0"]}, ParquetSink(f"{tmp_path}/a"))["archived"] == 1 and r.purge({}, "hard")["processed"] == 5
+    assert repo.count() == 4
+    with pytest.raises(errors.ReadOnly):
+        r.sealed().get_or_create
+
+
+def test_purge_step_needs_a_scope_and_asks_again(repo):
+    for node in (None, {}, f.TRUE, {"organizationId": None}):
+        step = repo.purge_step(node)
+        assert step["blockers"]() and step["estimate"]() == 0 and not step["execute"]()["ok"] and not step["verify"]()
+    assert repo.count() == 10
+    scope = {"organizationId": "org-a"}
+    soft = repo.purge_step(scope, "soft")
+    assert not soft["verify"]() and soft["execute"]()["ok"] and soft["verify"]()
+    anonymous = repo.purge_step(scope, "anonymize", {"category": "gone", "version": None})
+    assert not anonymous["verify"]() and anonymous["execute"]()["ok"] and anonymous["verify"]()
+    assert not repo.purge_step(scope, "anonymize", {"name": lambda df: F.lit("x")})["verify"]()  # cannot be judged
+    assert repo.purge_step(scope, "anonymize", {"name": lambda df: F.lit("x")}, remaining={"category": {"ne": "gone"}})["verify"]()
+
+
+def test_anonymize_by_a_function_of_the_row(repo):
+    hide = per_row(lambda r: f"{r['organizationId']}-{len(r['name'])}-{r['id'][-1]}", "string", "organizationId", "name", "id")
+    assert repo.purge({"organizationId": "org-b"}, "anonymize", {"name": hide})["processed"] == 4
+    assert repo.get_by_id("u9")["name"] == "org-b-2-9" and repo.get_by_id("u1")["name"] == "n1"
+
+
+def test_url_answers_what_was_asked(spark, repo):
+    assert [tuple(r.asDict()) for r in repo.query("sort=-id&select=id").data][0] == ("id",)
+    page = repo.query("sort=-count&select=-name,-category&limit=3")
+    assert "name" not in page.data[0].asDict() and [r["id"] for r in repo.query(f"sort=-count&select=id&limit=3&after={page.next}").data] == ["u6", "u5", "u4"]
+    r = Repository("users", repo.source, catalog={"category": spark.createDataFrame([("reader", "R")], "id string, label string")})
+    assert [x["id"] for x in r.query("populate=category&search=N3").data] == ["u3"]
+    assert r.lookup_populate([], limit=3, count="none").total == 0 and r.lookup_populate([], limit=3, count="none").has_next
+    assert repo.query(f"page={'9' * 5000}").page == 1
+    many = Repository("many", spark.range(300).withColumnRenamed("id", "n"), key="n")
+    assert len(many.query("limit=150").data) == 150 and len(many.query("limit=150&sort=n").data) == 150 and len(many.query("limit=999").data) == 200
+
+
+def test_reads_can_be_stopped_and_repeated(spark, repo):
+    stop = threading.Event()
+    stop.set()
+    with pytest.raises(control.Aborted):
+        repo.count(signal=stop)
+    slow = Repository("slow", spark.range(8, numPartitions=8).select(F.udf(lambda x: time.sleep(20) or x, "long")("id").alias("x")), key="x")
+    start, stop = time.monotonic(), threading.Event()
+    threading.Timer(1, stop.set).start()
+    with pytest.raises(control.Aborted):
+        slow.find_all(signal=stop)
+    for call in (lambda r: slow.aggregate(r), lambda r: slow.aggregate_paginate(r)):
+        with pytest.raises(errors.TimedOut):
+            call(Aggregate({"n": Measure("max", "x")}, "x", hints={"max_time_ms": 500}))
+    assert time.monotonic() - start < 18
+    tries = []
+
+    def flaky(c):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("again")
+
+    repo.hooks.on("before:count", flaky)
+    assert repo.count(retry=control.RetryPolicy(attempts=3, base=0.01)) == 10
+
+
+def test_writes_touch_only_files_with_matches(spark, repo, tmp_path):
+    rows = spark.range(100).selectExpr("cast(id as string) id", "id n").repartitionByRange(10, "n")
+    table = SnapshotTable(spark, f"{tmp_path}/files", "id").create(rows)
+    r = Repository("files", table)
+    names = lambda v=None: {f"{k}/{x}" for k, xs in (table.manifest() if v is None else next(h for h in table.manifest()["history"] if h["version"] == v))["files"].items() for x in xs}
+    first = names()
+    assert r.update("50", {"n": -1})["n"] == -1 and len(first - names()) == 1 and r.count() == 100
+    assert r.update("none", {"n": 0}) is None and r.create({"id": "new", "n": 7})["n"] == 7 and r.count() == 101
+    assert r.delete_many(f.lt("n", 5))["deletedCount"] == 6 and r.count() == 95 and table.read(1).count() == 100
+    assert len(first & names()) == 8
+    table.compact()
+    assert table.vacuum(1) > 0 and r.count() == 95 and r.get_by_id("99")["n"] == 99
+    split = SnapshotTable(spark, f"{tmp_path}/split", "id", partition_by="k").create(rows.selectExpr("*", "concat('a b%', n % 3) k"))
+    s = Repository("split", split)
+    assert s.update("4", {"n": -4})["n"] == -4 and s.count() == 100 and s.count({"k": "a b%1"}) == 33
+
+
+def test_one_writer_of_a_log_at_a_time(spark, tmp_path):
+    log = AppendLog(spark, f"{tmp_path}/log")
+    entry = {"scope": "s", "docId": "a", "op": "create", "doc": {}}
+    log.append([entry] * 3)
+    other = AppendLog(spark, f"{tmp_path}/log")
+    assert log._store.claim(log._lock)
+    with pytest.raises(errors.Conflict):
+        other.append([entry])
+    log._store.delete(log._lock)
+    last = other.append([entry])
+    log.prune(last)
+    assert log.read().count() == 0 and int(log.append([entry])) == 5 and other.latest() == log.latest()
+
+
+def test_codes_on_the_wire():
+    wire = lambda e: errors.to_wire(e)["code"]
+    assert [wire(e) for e in (errors.NotFound("x"), errors.Conflict("x"), errors.Invalid("x"), errors.PreconditionFailed("x"), errors.TimedOut("x"), errors.ReadOnly("x"), KeyError("x"), ValueError("x"))] == ["not_found", "conflict", "validation_error", "precondition_failed", "timeout", "forbidden", "internal_error", "validation_error"]
+    own = errors.Conflict("x")
+    own.code = "idempotency_conflict"
+    assert wire(own) == "idempotency_conflict"
