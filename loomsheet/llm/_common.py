@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multipliers of the two independent polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Rows that one task may hold in any case; rows under one key from which it may be a hub; the most hubs that are told to all tasks.
+FEW, HUB, HUBS = 10_000, 64, 100_000
+#: Seconds between two calls to free unread shuffles.
+CLEAN_EVERY = 4.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,18 +45,39 @@ def partitions_for(df: DataFrame, bytes_each: int, factor: int = 1) -> int:
     return max(base, min(size // bytes_each, 200_000))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session may go without one (a temp folder then)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "loomsheet-checkpoints")
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder is deleted when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+_cleaned = 0.0
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named by the session (a temp folder only if unset)."""
+    """Cut the lineage through the shared folder named by the session; what was written goes when the driver ends."""
+    global _cleaned
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomsheet-checkpoints")
-        )
+        sc.setCheckpointDir(shared_folder(spark))
+        forget_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     out = df.checkpoint(eager=True)
-    # shuffles and checkpoints that nothing reads any more go now, not when the driver next needs memory
-    gc.collect()
-    sc._jvm.System.gc()
+    if time.monotonic() - _cleaned > CLEAN_EVERY:
+        # shuffles and checkpoints that nothing reads any more go now, not when the driver next needs memory
+        gc.collect()
+        sc._jvm.System.gc()
+        _cleaned = time.monotonic()
     return out
 
 
@@ -66,6 +94,12 @@ def held_out(col="doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def within_bytes(rows: DataFrame, most: int, *order) -> DataFrame:
+    """The first of a bounded number of rows, in this order, whose texts together hold ``most`` bytes at most."""
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("__bytes", size).filter(F.col("__bytes") <= most).drop("__bytes")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -156,31 +190,74 @@ def chunks_by_size(texts: list[bytes], limit: int = 2_000_000):
         yield i, len(texts)
 
 
+def carried(columns: list[str]) -> Column:
+    """The columns in one struct, after a null of a name that none of them has: their names cannot clash with others."""
+    free = "_"
+    while free in columns:
+        free += "_"
+    return F.struct(F.lit(None).cast("string").alias(free), *[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+
+
+def hubs_of(df: DataFrame, keys: list[str], n: int) -> DataFrame | None:
+    """The keys that hold more than one ``HUBS``-th of the n rows (and ``HUB``): ``HUBS`` keys at most. None: rows are few."""
+    if n <= FEW:
+        return None
+    many = max(HUB, math.ceil(n / HUBS))
+    return df.groupBy(keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > many).select(keys)
+
+
+def hub_join(df: DataFrame, values: DataFrame, key: str | list[str], n: int, how: str = "inner") -> DataFrame:
+    """``df`` (of about n rows) joined with ``values`` (one row a key); rows of hubs stay where they are.
+
+    No task gathers the rows of one key: the values of hubs are broadcast (``HUBS`` rows at
+    most), all other rows are shuffled.
+    """
+    key = [key] if isinstance(key, str) else key
+    hubs = hubs_of(df, key, n)
+    if hubs is None:
+        return df.join(values, key, how)
+    hubs = F.broadcast(hubs)  # HUBS rows at most
+    some = F.broadcast(values.join(hubs, key, "left_semi"))  # as many
+    return df.join(hubs, key, "left_semi").join(some, key, how).unionByName(df.join(hubs, key, "left_anti").join(values, key, how))
+
+
+def with_least(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """``df`` (of about n rows) with ``m``, the least ``value`` of the row's ``key``; as in ``hub_join``."""
+    least = df.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("__n"))
+    if n <= FEW:
+        return df.join(least.drop("__n"), key)
+    many = max(HUB, math.ceil(n / HUBS))
+    hubs = F.broadcast(least.filter(F.col("__n") > many).drop("__n"))  # HUBS rows at most
+    rest = df.join(hubs, key, "left_anti").join(least.filter(F.col("__n") <= many).drop("__n"), key)
+    return df.join(hubs, key).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components (node, component = least node) of undirected links.
 
     Alternates large-star and small-star steps; every step is a shuffle of at most the
-    links, aggregated by minimum before it, so a hub of any degree is never gathered.
-    Each round is checkpointed to the shared folder.  Nodes without links are absent.
+    links, aggregated by minimum before it, and the links of a hub of any degree stay
+    spread over all tasks.  Each round is checkpointed to the shared folder.  Nodes without
+    links are absent.  Nodes may be of any type that has an order.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u is not null and u < v").distinct()
     e = checkpoint(e)
-    last = None
-    for _ in range(rounds):
+    state = lambda: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    last = state()
+    for _ in range(rounds if last[0] else 0):
         # large star: neighbours above a node move to its least neighbour
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
+        large = with_least(both, "u", "v", 2 * last[0]).filter("v > u").select(F.least("u", "m").alias("u"), "v").filter("u < v").distinct()
         # small star: neighbours below a node, and the node, move to the least of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        j = large.join(low, "v")
+        j = with_least(large, "v", "u", last[0])
         small = j.select(F.col("m").alias("u"), F.col("u").alias("v")).union(j.select(F.col("m").alias("u"), "v"))
         e = checkpoint(small.filter("u < v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last or not now[0]:
+        now = state()
+        if now == last:
             break
         last = now
     else:
-        raise RuntimeError("components did not settle")
+        if last[0]:
+            raise RuntimeError("components did not settle")
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)
