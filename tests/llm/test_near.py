@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomsheet.llm import embeddings, minhash, pii
+from loomsheet.llm import _common, embeddings, minhash, pii
 from loomsheet.llm._common import components
 
 from . import fixtures
@@ -37,6 +37,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(_common, "FEW", 10)
+    monkeypatch.setattr(_common, "HUB", 5)
+    rng = random.Random(2)
+    links = [(500, k) for k in range(100, 180)] + [(7, k) for k in range(150, 260)] + [(rng.randint(600, 900), rng.randint(600, 900)) for _ in range(150)]
+    want = closed({x for l in links for x in l}, links)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got.get(n, n) == c for n, c in want.items())
+    rows = spark.createDataFrame(links, "a long, b long")
+    values = spark.createDataFrame([(500, "x"), (7, "y"), (601, "z")], "a long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, _common.hub_join(rows, values, "a", 1000, how).collect())) == sorted(map(str, rows.join(values, "a", how).collect()))
+
+
 def vectors(seed=5):
     rng = np.random.default_rng(seed)
     out, i = [], 0
@@ -79,6 +93,55 @@ def test_more_cell_lines_only_lose_at_cells(spark):
     assert sum(few.values()) > 0 and all(more[i] <= n for i, n in few.items())
 
 
+def brute_links(rows):
+    """(vec_id, n_links, component_id) of every row; rows that repeat both are one vector."""
+    good = lambda r: r[0] is not None and r[1] is not None and r[2] and None not in r[2] and np.isfinite(r[2]).all() and np.any(r[2])
+    nodes = sorted({(r[0], r[1], tuple(r[2])) for r in rows if good(r)})
+    unit = [np.asarray(v, float) / np.linalg.norm(np.asarray(v, float)) for _, _, v in nodes]
+    links = [(a, b) for a in range(len(nodes)) for b in range(a) if nodes[a][1] == nodes[b][1] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    n, root = Counter(x for l in links for x in l), closed(range(len(nodes)), links)  # nodes are sorted: the least has the least vec_id
+    at = {k: i for i, k in enumerate(nodes)}
+    out = []
+    for r in rows:
+        i = at[r[0], r[1], tuple(r[2])] if good(r) else None
+        out.append((r[0], 0, r[0]) if i is None else (r[0], n[i], nodes[root[i]][0]))
+    return out
+
+
+def test_vectors_have_exactly_their_links(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((40, 16))
+    rows = [(i, int(rng.integers(1, 4)), [float(x) for x in centre[i % 40] + rng.normal(0, 0.03, 16)]) for i in range(900)]
+    rows += [(9000 + i, 2, [float(x) for x in rng.standard_normal(16)]) for i in range(200)]
+    # repeated ids: other vectors, the same vector again, a copy under another id
+    rows += [(5, 1, rows[44][2]), (5, 2, [1.0] + [0.0] * 15), (5, 2, [0.0, 1.0] + [0.0] * 14), rows[7], rows[7], (-3, rows[7][1], rows[7][2]), (None, 1, rows[0][2]), (9999, 1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_links(df, recall=0.999999).collect()]
+    assert sorted(got, key=str) == sorted(brute_links(rows), key=str)
+
+
+@pytest.mark.parametrize("told", [0, 100_000])
+def test_split_cells_and_small_tasks_change_nothing(spark, monkeypatch, told):
+    monkeypatch.setattr(embeddings, "TOLD", told)
+    df = spark.createDataFrame(vectors(), "vec_id long, label int, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, embeddings.near_links(df, grid=1).collect()))
+    assert sorted(map(tuple, embeddings.near_links(df, grid=1, block=20).collect())) == whole
+
+
+def test_unlike_vectors_of_one_id_are_apart(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [1.0, 0.01]), (2, 1, [1.0, 0.01])]
+    got = embeddings.near_links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False)]
+
+
+def test_windows_on_a_line_meet_every_near_pair():
+    rng = np.random.default_rng(3)
+    group, along = rng.integers(0, 7, 300), rng.standard_normal(300)
+    want = {(a, b) for a in range(300) for b in range(a) if group[a] == group[b] and abs(along[a] - along[b]) <= 0.1}
+    got = [(max(p), min(p)) for i, j in embeddings.window_pairs(group, along, 0.1) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def multiset(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
