@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import U64, Rolling, checkpoint, chunks_by_size, components, mix64, small_batches, table, text_bytes
+from ._common import U64, Rolling, carried, checkpoint, chunks_by_size, components, hub_join, mix64, small_batches, table, text_bytes
 from .repeats import WordTokens
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 25, 5, 512
+#: Compressed bytes of texts in a block.
+BLOCK_BYTES = 16 << 20
 
 
 class Shingles:
@@ -93,10 +95,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / total if total else 0.0
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with ``sim``, the weighted Jaccard of their texts' shingle multisets.
+def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The n pairs (a, b) with ``sim``, the weighted Jaccard of their texts' shingle multisets.
 
-    ``texts``: (node, z), the compressed text.
+    ``texts``: (node, z), the compressed text.  ``b`` may be in very many pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,21 +121,22 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    both = hub_join(both, texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b", n)
     return both.sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, sim double")
 
 
-def block_links(links: DataFrame, alike: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect what ``links`` leaves apart within the components of ``alike``.
+def block_links(own: DataFrame, cross: DataFrame, texts: DataFrame, n: int, least: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between parts that ``cross`` holds alike but no link connects yet.
 
-    A group of nodes is dealt to blocks; a task gets two blocks and computes all overlaps
-    between their multisets.  Blocks within one component of ``links`` are not computed.
+    ``own``: (node, part) of all n nodes.  The nodes of a group of parts are dealt to
+    blocks of bounded rows and bytes; a task gets two blocks and computes all overlaps
+    between their multisets, of which only links that connect come out.
     """
-    group = components(alike.select("a", "b")).select("node", F.col("component").alias("group"))
-    own = components(links).select("node", F.col("component").alias("part"))
-    placed = group.join(own, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    size = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    placed = placed.join(size.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "group").join(texts, "node")
+    groups = components(cross).select(F.col("node").alias("part"), F.col("component").alias("group"))
+    placed = checkpoint(hub_join(own, groups, "part", n).join(texts, "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("z")) / BLOCK_BYTES)).cast("int")
+    sizes = placed.groupBy("group").agg(blocks.alias("blocks"))
+    placed = hub_join(placed, sizes, "group", n)
     placed = placed.withColumn("own", F.pmod(F.when(F.col("blocks") > 1, F.hash("node")).otherwise(0), F.col("blocks")))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.select("group", "own", each.alias("other"), "node", "part", "z")
@@ -191,7 +194,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     then stay together.  1 - Jaccard is a metric:
     of two nodes that link, when the first settles with a leader the other is at least
     ``settle`` - (1 - ``least``) like it.  So the components of the pairs that are that alike, or left
-    together, hold every link; those that the links found do not yet connect are compared in blocks
+    together, hold every link; where those lead from one part of what the links found connect to another, the parts are compared in blocks
     of bounded size, by matrix products, of which only spanning links come out.
     Rows that repeat a doc_id are one document (its text: that of least hash).  Null, empty
     or blank texts and null doc_ids link with nothing.  An empty table gives no rows.
@@ -220,7 +223,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     nodes = checkpoint(signed.filter("bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    banded = checkpoint(banded.join(buckets, "band").select("band", "node", "leader"))
+    banded = checkpoint(hub_join(banded, buckets, "band", nodes.count() * bands).select("band", "node", "leader"))
     # the texts of nodes that share a bucket, compressed; the rest is compared with nothing
     met = nodes.join(banded.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "k1", "k2")
     texts = docs.join(met, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
@@ -231,44 +234,70 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), z], names=["node", "z"])
 
     texts = checkpoint(texts.select("doc_id", "text").mapInArrow(squeeze, "node long, z binary"))
-    tested, open_ = None, banded
+    tested, open_, left_over = None, banded, banded.count()
     for _ in range(rounds):
         pairs = open_.filter("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-        new = checkpoint(compared(pairs, texts))
+        new = checkpoint(compared(pairs, texts, left_over))
         tested = new if tested is None else checkpoint(tested.union(new))
         # nodes far from their bucket's leader get another: the least of those left
         known = open_.join(tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), "sim"), ["node", "leader"], "left")
         left = known.filter((F.col("node") > F.col("leader")) & (F.col("sim") < settle)).select("band", "node")
         leaders = left.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        open_ = checkpoint(left.join(leaders, "band").select("band", "node", "leader"))
-        if open_.isEmpty():
+        open_ = checkpoint(hub_join(left, leaders, "band", left_over).select("band", "node", "leader"))
+        left_over = open_.count()
+        if not left_over:
             break
     links = tested.filter(F.col("sim") >= least).select("a", "b")
-    alike = tested.filter(F.col("sim") >= settle - (1 - least)).select("a", "b")
+    alike = tested.filter((F.col("sim") < least) & (F.col("sim") >= settle - (1 - least))).select("a", "b")
     alike = alike.union(open_.filter("node > leader").select("node", "leader").distinct())
-    links = checkpoint(links.union(block_links(links, alike, texts, least)))
-    roots = components(links)
+    linked = components(links).select("node", F.col("component").alias("part"))
+    own = checkpoint(texts.select("node").join(linked, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    n_met, n_alike = own.count(), alike.count()
+    ends = hub_join(alike.withColumnRenamed("b", "node"), own, "node", n_alike).select(F.col("a").alias("node"), F.col("part").alias("b"))
+    cross = checkpoint(ends.join(own, "node").select(F.col("part").alias("a"), "b").filter("a <> b").distinct())
+    roots = own.select("node", F.col("part").alias("component"))
+    if not cross.isEmpty():
+        further = components(checkpoint(block_links(own, cross, texts, n_met, least))).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        roots = hub_join(own, further, "part", n_met, "left").select("node", F.coalesce("whole", "part").alias("component"))
     node_of = signed.filter("bands is not null").join(nodes.select("k1", "k2", "node", "copies"), ["k1", "k2"])
     found = node_of.join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), "copies")
     alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
     return found.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, every_text: bool = False) -> DataFrame:
     """The rows of one document of each class, the least doc_id; all columns as they are.
 
     Rows with a null doc_id stay.  Of rows that repeat a doc_id the one with the least text
-    hash stays (the text that stood for the document).
+    hash stays (the text that stood for the document).  With ``every_text`` each further
+    text under a taken doc_id is a document of its own, after all others in the order, and
+    stays unless it is like one of them; of rows that repeat both, one stays.  Null, empty
+    and blank texts stay (each such text once an id).  Other columns are carried, whatever
+    their names; an empty table gives no rows.
     """
-    gone = near_classes(docs).filter("not kept").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    columns = docs.columns
+    wide = docs.select(
+        "doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"),
+        carried([c for c in columns if c not in ("doc_id", "text")]).alias("rest"),
+    )
+    back = [F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns]
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
-    ranked = out.select(F.struct(*docs.columns).alias("row"), "doc_id", F.row_number().over(order).alias("rank"))
-    return ranked.filter("rank = 1 or doc_id is null").select("row.*")
+        gone = near_classes(docs).filter("not kept").select("doc_id")
+        return wide.join(gone, "doc_id", "left_anti").select(back)
+    # one row for each text of an id; its rank among them
+    by_text = W.partitionBy("doc_id", "k1", "k2").orderBy(F.xxhash64("rest"))
+    by_id = W.partitionBy("doc_id").orderBy("k1", "k2")
+    named = wide.filter("doc_id is not null").withColumn("row", F.row_number().over(by_text)).filter("row = 1").drop("row")
+    named = named.withColumn("rank", F.row_number().over(by_id))
+    if every_text:
+        last = docs.agg(F.max("doc_id")).first()[0]
+        named = checkpoint(named.withColumn("key", F.when(F.col("rank") == 1, F.col("doc_id")).otherwise(F.lit(last + 1) + F.monotonically_increasing_id())))
+    else:
+        named = named.filter("rank = 1").withColumn("key", F.col("doc_id"))
+    gone = near_classes(named.select(F.col("key").alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias("key"))
+    return named.join(gone, "key", "left_anti").select(back).union(wide.filter("doc_id is null").select(back))
 
 
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

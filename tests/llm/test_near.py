@@ -195,6 +195,34 @@ def test_repeated_rows_are_one_document(spark):
     assert 7 not in ids and 3 in ids
 
 
+def test_every_text_under_a_taken_id_stays(spark):
+    df = fixtures.docs(spark)
+    out = minhash.one_of_each(df, every_text=True).collect()
+    plain = minhash.one_of_each(df).collect()
+    texts = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
+    under_6 = {r[1] for r in fixtures.rows() if r[0] == 6}
+    assert len(under_6) == 2 and {t for i, t in texts(out) if i == 6} == under_6
+    assert texts(plain) <= texts(out) and len(out) == len(plain) + 1
+    assert {r["anchor"] for r in out} == {"a"}  # other columns are carried
+
+
+def test_what_is_alike_but_unlinked_is_compared_in_blocks(spark):
+    """Texts that share six tenths of their words with a leader: some link with each other, none with it."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    common = [word() for _ in range(300)]
+    rows = [(0, " ".join(common))]
+    for i in range(60):
+        tail = [word() for _ in range(70)]
+        rows += [(1 + 2 * i, " ".join(common + tail)), (2 + 2 * i, " ".join(common + tail[:60] + [word() for _ in range(10)]))]
+    sets = {i: multiset(t) for i, t in rows}
+    link = lambda a, b: sum((sets[a] & sets[b]).values()) / sum((sets[a] | sets[b]).values()) >= 0.8
+    want = closed(list(sets), [(a, b) for a in sets for b in sets if b < a and link(a, b)])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(df, settle=0.9).collect()}
+    assert got == want
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -270,6 +298,16 @@ def test_clean_documents_keeps_columns(spark):
     assert [r["text"] for r in out.filter("doc_id = 11").collect()] == [None]
 
 
+def test_columns_of_any_name_are_carried(spark):
+    rows = [(1, "mail a@b.c now", 5, "u", "n", "o"), (2, None, 6, "u", "n", "o"), (1, "mail a@b.c now", 5, "u", "n", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_` int, `__null` string, null string, others string")
+    out = pii.clean_documents(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, (r[1:] for r in out.collect()))) == sorted(map(str, [("mail <EMAIL> now", 5, "u", "n", "o")] * 2 + [(None, 6, "u", "n", "o")]))
+    kept = minhash.one_of_each(df, every_text=True)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[:2], key=str)
+
+
 def test_no_python_in_the_plan(spark, capsys):
     pii.op4_information_theoretic_pii(spark, "/root/testdata/sf0.001").explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
