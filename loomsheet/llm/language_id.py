@@ -14,12 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import U64, chunks_by_size, held_out, mix64, small_batches, table, text_bytes
+from ._common import U64, chunks_by_size, held_out, mix64, small_batches, table, text_bytes, within_bytes
 
-#: n-gram orders, hashed features, training texts per language (the bound of the sample).
-ORDERS, FEATURES, PER_LANGUAGE = (1, 2, 3), 1 << 13, 1000
+#: n-gram orders, hashed features, training texts per language and their bytes in all (the bounds of the sample).
+ORDERS, FEATURES, PER_LANGUAGE, SAMPLE_BYTES = (1, 2, 3), 1 << 13, 1000, 64 << 20
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, ambiguous boolean"
 
@@ -83,19 +84,30 @@ class Model:
 
 
 def fit(texts: list[bytes], langs: list[str]) -> Model | None:
-    """Learn the bit classifiers; a fifth of the rows sets the slopes and the bits' weights."""
+    """Learn the bit classifiers; a fifth of the rows sets the slopes and the bits' weights.
+
+    Counts are summed by language as they are made, so no row of them is kept.
+    """
     if not texts:
         return None
     languages = sorted(set(langs))
     code = code_matrix(len(languages))
-    y = np.asarray([languages.index(x) for x in langs])
-    x = np.concatenate([counts(texts[i:j]) for i, j in chunks_by_size(texts, 1_000_000)])
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.asarray([number[x] for x in langs])
     aside = np.arange(len(y)) % 5 == 4 if len(y) >= 10 * len(languages) else np.zeros(len(y), bool)
-    by_language = np.stack([x[(y == k) & ~aside].sum(0) if ((y == k) & ~aside).any() else x[y == k].sum(0) for k in range(len(languages))])
+    for k in range(len(languages)):  # a language that would only be aside is learned from too
+        aside[y == k] &= not aside[y == k].all()
+    by_language = np.zeros((len(languages), FEATURES))
+    for i, j in chunks_by_size(texts, 1_000_000):
+        np.add.at(by_language, y[i:j][~aside[i:j]], counts(texts[i:j])[~aside[i:j]])
     rate = (by_language + 0.5) / (by_language + 0.5).sum(1, keepdims=True)  # each language weighs the same
-    weights = np.stack([np.log(rate[c > 0].mean(0)) - np.log(rate[c < 0].mean(0)) if (c > 0).any() and (c < 0).any() else np.zeros(x.shape[1]) for c in code.T], 1)
-    test = aside if aside.any() else ~aside
-    raw = (x[test] @ weights) / np.maximum(x[test].sum(1, keepdims=True), 1)
+    weights = np.stack([np.log(rate[c > 0].mean(0)) - np.log(rate[c < 0].mean(0)) if (c > 0).any() and (c < 0).any() else np.zeros(FEATURES) for c in code.T], 1)
+    test = np.flatnonzero(aside if aside.any() else ~aside)
+    apart, parts = [texts[i] for i in test.tolist()], []
+    for i, j in chunks_by_size(apart, 1_000_000):
+        x = counts(apart[i:j])
+        parts.append((x @ weights) / np.maximum(x.sum(1, keepdims=True), 1))
+    raw = np.concatenate(parts)
     right = raw * code[y[test]]
     scale = 4 / np.maximum(np.median(np.abs(raw), 0), 1e-9)
     error = np.clip(((right <= 0).mean(0) * len(right) + 1) / (len(right) + 2), 1e-3, 0.499)
@@ -103,21 +115,22 @@ def fit(texts: list[bytes], langs: list[str]) -> Model | None:
     return Model(languages, code, weights.astype(np.float32), scale, trust / trust.sum() * min(4, code.shape[1]))
 
 
-def sample(docs: DataFrame, per_language: int) -> tuple[list[bytes], list[str]]:
-    """At most ``per_language`` training texts of each language, chosen by a hash of the id."""
+def sample(docs: DataFrame, per_language: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
+    """At most ``per_language`` training texts of each language, those with the least hash of the id.
+
+    Of all of them, in the order of the hash, as many as hold ``most_bytes`` at most.
+    """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
     each = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not each:
         return [], []
-    share = F.create_map(*[F.lit(v) for k, n in each.items() for v in (k, min(1.0, per_language / n))])
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    got = (
-        rows.filter(order < share[F.col("lang")])
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .select("text", "lang")
-        .limit(per_language * len(each))
-        .collect()
-    )
+    # a share by hash with some to spare, so that few rows are ranked
+    share = F.create_map(*[F.lit(v) for k, n in each.items() for v in (k, min(1.0, (1.2 * per_language + 100) / n))])
+    some = rows.filter(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < share[F.col("lang")])
+    order = ("h", "doc_id", "text")
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= per_language)
+    got = within_bytes(ranked, most_bytes, *order).orderBy(*order).select("text", "lang").collect()
     return [r["text"].lower().encode() for r in got], [r["lang"] for r in got]
 
 
@@ -125,7 +138,10 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.2)
     """Language of every whole text.
 
     ``und`` with score 0 if the text is null, empty or without a letter, or if there was
-    nothing to learn from.  Repeated rows are answered each; an empty table gives no rows.
+    nothing to learn from.  Of languages with equal loss the first by name is taken, and
+    the row is ambiguous.  Very long texts are counted whole.  Repeated rows are answered
+    each; an empty table gives no rows.  Other columns are not read, so their names cannot
+    clash.
     """
     small_batches(docs.sparkSession, 256)
 

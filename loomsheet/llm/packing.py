@@ -73,8 +73,9 @@ class SumOfSquaresPacker:
 
     ``count[h]`` is the number of open windows filled to level h.  An item of length r goes
     to the level h (0: a new window) with the least change of sum(count**2); ties take the
-    fullest level.  Full windows leave at once.  When more than ``most_open`` windows are
-    open, and at the end, the emptiest are cut up to fill the fullest.
+    fullest level.  Full windows leave at once.  While more than ``most_open`` windows are
+    open, which bounds memory, and at the end for all that are still open, the emptiest is
+    cut up to fill the fullest: without cuts each open window would be padding.
     """
 
     def __init__(self, capacity: int = CAPACITY, most_open: int = 2048):
@@ -114,39 +115,43 @@ class SumOfSquaresPacker:
         self.windows.setdefault(h + r, []).append(window)
         return None
 
-    def consolidate(self) -> Iterator[list]:
-        """Fill the fullest windows with cuts of the emptiest; at most one partial window stays."""
-        order = [w for h in sorted(self.windows, reverse=True) for w in self.windows[h]]
-        self.windows, self.open = {}, 0
-        self.count[:] = 0
-        i, j = 0, len(order) - 1
-        fill = lambda w: sum(len(p[2]) for p in w) // 4
-        while i < j:
-            need, window = self.capacity - fill(order[i]), order[i]
-            while need and j > i:
-                doc, start, ids, total = order[j].pop()
+    def _take(self, h: int) -> list:
+        self.count[h] -= 1
+        return self.windows[h].pop()
+
+    def _put(self, h: int, window: list) -> None:
+        self.count[h] += 1
+        self.windows.setdefault(h, []).append(window)
+
+    def consolidate(self, until: int) -> Iterator[list]:
+        """Fill the fullest window with cuts of the emptiest, until so many are open; yields those that became full.
+
+        Each step closes a window: a full one (with one cut at most), or an emptied one.
+        """
+        while self.open > max(1, until):
+            levels = np.flatnonzero(self.count)
+            high, low = int(levels[-1]), int(levels[0])
+            window, source = self._take(high), self._take(low)
+            while high < self.capacity and source:
+                doc, start, ids, total = source.pop()
                 n = len(ids) // 4
-                take = min(n, need)
+                take = min(n, self.capacity - high)
                 window.append((doc, start + n - take, ids[4 * (n - take) :], total))
                 if take < n:
-                    order[j].append((doc, start, ids[: 4 * (n - take)], total))
-                need -= take
-                if not order[j]:
-                    j -= 1
-            if need:
-                break
-            yield window
-            i += 1
-        if i == j and order[i]:
-            h = fill(order[i])
-            if h == self.capacity:
-                yield order[i]
+                    source.append((doc, start, ids[: 4 * (n - take)], total))
+                high, low = high + take, low - take
+            self.open -= 1
+            if source:
+                self._put(low, source)
+            if high < self.capacity:
+                self._put(high, window)
             else:
-                self.windows[h], self.count[h], self.open = [order[i]], 1, 1
+                self.open -= not source
+                yield window
 
     def finish(self) -> Iterator[list]:
-        """Close all. The last partial window is cut into powers of two, which need no padding."""
-        yield from self.consolidate()
+        """Close all: windows still open are cut up to fill each other, the last one into powers of two, which need no padding."""
+        yield from self.consolidate(1)
         for window in [w for x in self.windows.values() for w in x]:
             left = sum(len(p[2]) for p in window) // 4
             while left:
@@ -160,14 +165,19 @@ class SumOfSquaresPacker:
                         window.insert(0, (doc, start + n, ids[4 * n :], total))
                     size -= n
                 yield out
-        self.windows = {}
+        self.windows, self.open = {}, 0
+        self.count[:] = 0
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pack every row's whole text; one output row per piece (see ``SCHEMA``).
 
     Null and empty texts are the end id alone; repeated rows are packed each; an empty
-    table gives no rows; other columns of the input are not read.
+    table gives no rows; other columns of the input are not read, so their names cannot
+    clash.  A very long text fills windows of its own and its rest is placed.  Ties between
+    levels take the fullest, then the window opened last, so a retried task packs alike.
+    Per task, windows that placement left open are cut up at the end (see
+    ``SumOfSquaresPacker``): about one cut for each of them.
     """
     small_batches(docs.sparkSession)
 
@@ -199,9 +209,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 for at in range(0, total, capacity):
                     if (full := packer.place((doc, at, ids[4 * at : 4 * (at + capacity)], total))) is not None:
                         emit(full)
-                if packer.open > packer.most_open:
-                    for window in packer.consolidate():
-                        emit(window)
+                for window in packer.consolidate(packer.most_open):
+                    emit(window)
             if len(rows) > 5000:
                 yield flush()
         for window in packer.finish():

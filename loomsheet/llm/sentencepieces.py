@@ -1,8 +1,8 @@
 """Encoding and decoding with a SentencePiece vocabulary by streaming Viterbi.
 
-The best segmentation is the one whose pieces' scores have the greatest sum.  The search
-keeps only as many positions as the longest piece and commits ids as soon as the paths of
-all of them run through one boundary.  Characters outside the vocabulary become byte
+The best segmentation is the one whose pieces' scores have the greatest sum.  A text is fed
+to the search in parts; the search keeps only as many positions as the longest piece and
+commits ids as soon as the paths of all of them run through one boundary.  Characters outside the vocabulary become byte
 pieces, so every text comes back exactly.
 """
 
@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, text_bytes
+from ._common import chunks_by_size, small_batches, table, text_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
 #: What a byte-coded character scores below the lowest piece.
 PENALTY = 10.0
 LOWEST = float("-inf")
+#: Characters that are fed at once, and those of the longest run that is held back or remembered.
+PART, LONG_RUN = 1 << 16, 40
+#: Bytes of texts whose ids are put into one Arrow batch: their offsets fit 32 bits.
+BATCH_BYTES = 64 << 20
 SPACE = "▁"
 
 
@@ -66,18 +70,73 @@ class Vocabulary:
 class StreamingViterbi:
     """Feed text in parts; ``feed`` and ``finish`` return the ids committed so far.
 
-    ``width`` is the greatest number of positions ever held beyond the committed boundary
-    and the part being read.
+    Surviving paths always converge where no piece of the vocabulary can run across (the
+    ends of the vocabulary's runs): there all is committed, and the ids of a run depend on
+    the run alone, so those of short runs are remembered.  Within a run the search holds a
+    window of positions bounded by the longest piece and commits whenever the backpointer
+    paths of all live positions meet in one boundary.
+
+    The memo holds ``limit`` runs; when it is full it becomes the old one, from which runs
+    still in use come back.  ``width`` is the greatest number of positions ever held beyond
+    the committed boundary and the part being read.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
+        self.v, self.limit = vocabulary, limit
+        self.memo: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.text, self.base, self.width = "", 0, 0  # text from the committed boundary on
         self.best, self.back, self.ids = [0.0], [0], [0]  # ids: the piece that ends here, -1: bytes
         self.done = 0  # positions of ``text`` whose outgoing pieces are all entered
+        self.open = ""  # what may go on as a run; its end if the run is already being searched
+        self.within = False  # whether the search stands inside a run
+
+    def feed(self, part: str) -> list[int]:
+        if not self.v.by_word:
+            return self._search(part)
+        out: list[int] = []
+        text = self.open + part
+        known = len(self.open) if self.within else 0  # what the search has seen
+        runs = self.v.runs.findall(text)
+        if not runs:
+            return out
+        last = runs.pop()  # may go on in the next part
+        if known and runs:
+            out += self._search(runs.pop(0)[known:]) + self._end()
+            known, self.within = 0, False
+        get = self.memo.get
+        for run in runs:
+            if (ids := get(run)) is None:
+                ids, get = self._run(run), self.memo.get
+            out += ids
+        if self.within or len(last) > LONG_RUN:
+            out += self._search(last[known:])
+            self.within, self.open = True, last[-1]
+        else:
+            self.open = last
+        return out
+
+    def finish(self) -> list[int]:
+        if self.v.by_word and self.open and not self.within:
+            out = self._run(self.open)
+        else:
+            out = self._end()
+        self.reset()
+        return out
+
+    def _run(self, run: str) -> list[int]:
+        """A whole run, from one boundary to the next."""
+        if (ids := self.memo.get(run)) is None:
+            if (ids := self.old.get(run)) is None:
+                ids = self._search(run) + self._end()
+            if len(run) <= LONG_RUN:
+                if len(self.memo) >= self.limit:
+                    self.old, self.memo = self.memo, {}
+                self.memo[run] = ids
+        return ids
 
     def _extend(self, until: int) -> None:
         text, best, back, ids = self.text, self.best, self.back, self.ids
@@ -126,7 +185,7 @@ class StreamingViterbi:
         out.reverse()
         return out
 
-    def feed(self, part: str) -> list[int]:
+    def _search(self, part: str) -> list[int]:
         out: list[int] = []
         for k in range(0, len(part), 4 * self.v.longest):
             self.text += part[k : k + 4 * self.v.longest]
@@ -145,47 +204,37 @@ class StreamingViterbi:
                 out += self._commit(at)
         return out
 
-    def finish(self) -> list[int]:
+    def _end(self) -> list[int]:
+        """The text ends here, or no piece runs across: all is committed."""
         self._extend(len(self.text))
-        out = self._commit(len(self.text))
-        self.reset()
-        return out
+        return self._commit(len(self.text))
 
 
-class Encoder(dict):
-    """Ids (int32 bytes) of a text; those of short words are remembered.
-
-    When the memo is full it becomes the old one, from which words still in use come back;
-    so it holds ``limit`` words twice at most, and frequent words are not searched again.
-    """
+class Encoder:
+    """Ids (int32 bytes) of whole texts, each fed to one streaming search in parts."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
-        super().__init__()
-        self.v, self.limit, self.search = vocabulary, limit, StreamingViterbi(vocabulary)
-        self.old: dict[str, bytes] = {}
+        self.v, self.search = vocabulary, StreamingViterbi(vocabulary, limit)
         self.cut = vocabulary.runs.findall if vocabulary.by_word else None
 
-    def _ids(self, text: str) -> bytes:
-        return array("i", self.search.feed(text) + self.search.finish()).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self._ids(word)
-        if len(word) <= 40:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut(text))) if self.cut else self._ids(text)
+        out, feed = array("i"), self.search.feed
+        for k in range(0, len(text), PART):
+            out.extend(feed(text[k : k + PART]))
+        out.extend(self.search.finish())
+        return out.tobytes()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``BATCH_BYTES`` of text, one long text at least."""
+    for batch in batches:
+        for i, j in chunks_by_size(text_bytes(batch, text), BATCH_BYTES):
+            yield batch.slice(i, j - i)
+
+
 @functools.cache
 def encoder_of(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
@@ -195,7 +244,10 @@ def encoder_of(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds ``into`` array<int>. Null text gives null, empty text an empty array; other columns stay.
 
-    A column already named ``into`` is replaced.
+    A column already named ``into`` is replaced.  Of equal scores the path found first
+    stays: the one whose last piece starts first, so ids are the same on every run.
+    Repeated rows are encoded each; an empty table gives no rows.  Of a very long text the
+    search holds a bounded window; its ids are held whole, at most 2**31 a text.
     """
     kept = docs.drop(into) if into != text else docs
     small_batches(docs.sparkSession)
@@ -203,7 +255,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             parts = [encoder.encode(x.decode()) for x in text_bytes(batch, text)]
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
             null = batch.column(text).is_null().to_numpy(zero_copy_only=False)
@@ -215,7 +267,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds ``into`` string, the exact text of the ids. Null ids give null."""
+    """Adds ``into`` string, the exact text of the ids.
+
+    Null ids give null, an empty list the empty text.  A column already named ``into`` is
+    replaced; repeated rows are decoded each; an empty table gives no rows.
+    """
     kept = rows.drop(into) if into != ids else rows
     small_batches(rows.sparkSession)
     schema = kept.withColumn(into, F.lit(None).cast("string")).schema
@@ -226,8 +282,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
             col = batch.column(ids)
             flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum([n or 0 for n in pa.compute.list_value_length(col).to_pylist()])))
             null = col.is_null().to_pylist()
-            texts = [None if null[i] else encoder.decode(flat[ends[i] : ends[i + 1]].tolist()).decode() for i in range(len(col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            texts = [None if null[i] else encoder.decode(flat[ends[i] : ends[i + 1]].tolist()) for i in range(len(col))]
+            for i, j in chunks_by_size([x or b"" for x in texts], BATCH_BYTES):
+                own = pa.array(texts[i:j], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, own], names=[*batch.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
@@ -242,7 +300,7 @@ def op6_streaming_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
+        for batch in by_bytes(batches):
             texts = text_bytes(batch)
             parts = [encoder.encode(x.decode()) for x in texts]
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)

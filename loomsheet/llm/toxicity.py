@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, small_batches, table, text_bytes
+from ._common import held_out, small_batches, table, text_bytes, within_bytes
 
-#: Bounds of the training sample (labelled rows) and of the learned lexicon.
-SAMPLE, LEXICON = 9000, 200
+#: Bounds of the training sample (labelled rows, bytes of their texts) and of the learned lexicon.
+SAMPLE, SAMPLE_BYTES, LEXICON = 9000, 64 << 20, 200
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted ustedes ti tus".split())
 #: Look-alikes that stand for letters in disguised words.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
@@ -206,10 +206,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(lexicon, trees, isotonic(trees.score(x[pick(2)]), toxic[pick(2)]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """The ``most`` labelled rows outside the held-out fold with the least hash of the id.
 
-    The ids are chosen from the labels alone, so only their texts leave the executors.
+    The ids are chosen from the labels alone, so only their texts leave the executors; of
+    these, in the order of the hash, as many as hold ``most_bytes`` at most.
     """
     chosen = (
         labels.filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -218,7 +219,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # ``most`` rows
+    rows = within_bytes(rows, most_bytes, F.xxhash64("doc_id"), "doc_id", "text").collect()
     rows.sort(key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) % (1 << 64), r["text"] or ""))
     return [r["text"] or "" for r in rows], np.asarray([r["toxic"] for r in rows], np.int64)
 
@@ -227,7 +229,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score of every whole text, in place: no shuffle.
 
     Null text is empty; an empty text has the score of a row of zeros; repeated rows are
-    scored each; an empty table gives no rows; without training rows every score is 0.
+    scored each, equal texts alike; very long texts are counted whole; an empty table gives
+    no rows; without training rows every score is 0.  Other columns are not read, so their
+    names cannot clash.
     """
     small_batches(docs.sparkSession)
 
@@ -242,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows, all columns as they are, whose score is below ``limit``; null text is scored as empty."""
+    """The rows, all columns as they are, whose score is below ``limit``; null text is scored as empty, repeated rows each."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

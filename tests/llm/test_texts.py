@@ -51,6 +51,53 @@ def test_pieces_cover_every_document_once(spark):
                 assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
 
 
+def test_each_id_lies_in_exactly_one_piece(spark):
+    whole = Tokenizer.from_file(WORD_BPE)
+    texts = {}
+    for i, t, *_ in fixtures.rows():
+        texts.setdefault(i, t)
+    ids = {i: np.asarray([*whole.encode(t or "", add_special_tokens=False).ids, 1], np.uint32) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got, filled = {}, {}
+    for r in packing.pack(df, WORD_BPE).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got.keys() == ids.keys()
+    for i, rows in got.items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids[i])) and r["length"] > 0
+            assert zlib.crc32(ids[i][at : at + r["length"]].tobytes()) == r["ids_crc32"]
+            at += r["length"]
+        assert at == len(ids[i])
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
+@pytest.mark.parametrize("most_open", [1, 4, 2048])
+def test_few_open_windows_and_few_cuts(most_open):
+    rng, packer = random.Random(4), packing.SumOfSquaresPacker(64, most_open)
+    windows, sizes = [], [rng.randint(1, 60) for _ in range(700)]
+    for k, n in enumerate(sizes):
+        if (full := packer.place((k, 0, np.arange(n, dtype=np.uint32).tobytes(), n))) is not None:
+            windows.append(full)
+        windows += packer.consolidate(most_open)
+        assert packer.open == sum(map(len, packer.windows.values())) == packer.count.sum() <= most_open
+    still, whole = packer.open, sum(map(len, windows))
+    closed = list(packer.finish())
+    pieces = [p for w in [*windows, *closed] for p in w]
+    for k, n in enumerate(sizes):
+        own = sorted((start, len(ids) // 4) for doc, start, ids, _ in pieces if doc == k)
+        assert own[0][0] == 0 and sum(x for _, x in own) == n and all(a + x == b for (a, x), (b, _) in zip(own, own[1:], strict=False))
+    assert all(sum(len(p[2]) for p in w) // 4 == 64 for w in windows)
+    if most_open == 2048:
+        assert whole <= len(sizes) and len(pieces) <= len(sizes) + still + 7  # one cut for each window left open, and the last one's
+
+
 def test_packer_chooses_the_least_sum_of_squares():
     rng, packer = random.Random(1), packing.SumOfSquaresPacker(64)
     for _ in range(500):
@@ -161,6 +208,58 @@ def test_cutting_at_runs_loses_no_score():
         assert score(got) == (score(whole)[0], pytest.approx(score(whole)[1]))
 
 
+def plain_viterbi(v, text):
+    """Ids of the best segmentation, whole text at once; of equal scores the first found."""
+    best, back = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1)
+    for i in range(len(text)):
+        if text[i] not in v.score:
+            if best[i] + v.fallback > best[i + 1]:
+                best[i + 1], back[i + 1] = best[i] + v.fallback, (i, None)
+        for j in range(i + 1, min(len(text), i + v.longest) + 1):
+            if (found := v.score.get(text[i:j])) and best[i] + found[1] > best[j]:
+                best[j], back[j] = best[i] + found[1], (i, found[0])
+    out, j = [], len(text)
+    while j:
+        i, piece = back[j]
+        out += [piece] if piece is not None else [v.byte_id[b] for b in reversed(text[i:j].encode())]
+        j = i
+    return out[::-1]
+
+
+def test_stream_in_parts_of_any_size_is_the_plain_search():
+    v = sentencepieces.Vocabulary(PIECES)
+    rng = random.Random(11)
+    mixed = ["".join(rng.choice("abcde e.,!²(\n'₹é-_▁9") for _ in range(rng.randrange(1, 150))) for _ in range(60)]
+    long = ["x" * 300 + " " * 90 + "the" * 100, "." * 200 + "a b" + "internationalisation" * 20, "  lead", "trail  "]
+    for t in ODD + mixed + long + [(r[1] or "")[:2000] for r in fixtures.rows()]:
+        want = plain_viterbi(v, t)
+        score = lambda ids: sum(v.score[p][1] if (p := v.bytes_of[i].decode("utf-8", "replace")) in v.score else 0 for i in ids)
+        for part in (1, 7, 64, 1 << 20):
+            s = sentencepieces.StreamingViterbi(v, limit=9)
+            got = [x for k in range(0, len(t), part) for x in s.feed(t[k : k + part])] + s.finish()
+            assert b"".join(v.bytes_of[i] for i in got).decode() == t
+            # equal, but for ties whose sums round otherwise
+            assert got == want or score(got) == pytest.approx(score(want), abs=1e-6)
+            assert s.width <= 8 * v.longest + sentencepieces.LONG_RUN
+
+
+def test_the_pieces_query(spark, sf):
+    v = sentencepieces.Vocabulary(PIECES)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sentencepieces.op6_streaming_viterbi_pieces(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert r["round_trip"] and b"".join(v.bytes_of[i] for i in r["ids"]).decode() == (texts[r["doc_id"]] or "")
+        assert r["n_ids"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(np.asarray(r["ids"], np.int32).tobytes()).hexdigest()
+
+
+def test_long_texts_are_split_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "BATCH_BYTES", 500)
+    df = fixtures.docs(spark)
+    rows = sentencepieces.decode(sentencepieces.encode(df, PIECES), PIECES).collect()
+    assert len(rows) == df.count() and all(r["decoded"] == r["text"] for r in rows)
+
+
 def test_encode_and_decode_frames(spark):
     df = fixtures.docs(spark).withColumnRenamed("anchor", "ids")
     out = sentencepieces.decode(sentencepieces.encode(df, PIECES), PIECES).collect()
@@ -189,6 +288,46 @@ def test_language_codes_and_training(spark):
     assert {r["lang_pred"] for r in language_id.identify(fixtures.docs(spark), language_id.fit([], [])).collect()} == {"und"}
 
 
+def test_decoding_against_brute_force():
+    """Counts by plain slices, margins bit by bit, the loss of every codeword."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(a + " ") for _ in range(rng.randint(3, 60))).encode() for a in ("abcd", "cdef", "efgh", "ghij") * 30]
+    langs = ["p", "q", "r", "s"] * 30
+    model = language_id.fit(texts, langs)
+
+    def plain(text):
+        out = np.zeros(language_id.FEATURES)
+        for order in language_id.ORDERS:
+            for i in range(len(text) - order + 1):
+                gram = 0
+                for b in text[i : i + order]:
+                    gram = (gram * 257 + b + 1) % (1 << 64)
+                h = language_id.mix64(np.asarray([(gram + (order << 40)) % (1 << 64)], np.uint64))[0]
+                out[int(h) % language_id.FEATURES] += 1
+        return out
+
+    for text in [*texts[:12], b"a", "é".encode(), b"zzz cd"]:
+        x = plain(text)
+        assert (language_id.counts([text])[0] == x).all()
+        margin = [float(x @ model.weights[:, b]) / x.sum() * model.scale[b] for b in range(model.code.shape[1])]
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-np.clip(m * c[b], -30, 30))) for b, m in enumerate(margin)) for c in model.code]
+        p = np.exp(-np.asarray(loss))
+        p /= p.sum()
+        best, score, lead = model.decode(language_id.counts([text]))
+        assert best[0] == p.argmax() and score[0] == pytest.approx(p.max(), rel=1e-4)
+        assert lead[0] == pytest.approx(np.sort(p)[-1] - np.sort(p)[-2], abs=1e-4)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    rows = [(i, "x" * 100, "en" if i % 3 else "fr") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    texts, langs = language_id.sample(df, 50)
+    assert Counter(langs) == {"en": 50, "fr": 50}
+    assert len(language_id.sample(df, 50, most_bytes=1250)[0]) == 12
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    assert len(toxicity.sample(df, labels, most=80)[0]) == 80 and len(toxicity.sample(df, labels, most=80, most_bytes=999)[0]) == 9
+
+
 def test_held_out_language(spark, sf):
     from loomsheet.llm._common import table
 
@@ -208,6 +347,39 @@ def test_trees_and_isotonic():
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
 
 
+def test_isotonic_fit_against_brute_force():
+    """The fit is the greatest of the least means of all stretches around a row."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(rng.integers(1, 25))
+        score, y = np.sort(rng.choice(1000, n, replace=False)).astype(float), rng.integers(0, 2, n).astype(float)
+        want = [max(min(y[i : j + 1].mean() for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        xs, ys = toxicity.isotonic(score, y)
+        # kept off 0 and 1 by half a row of the block
+        size = [sum(abs(w - v) < 1e-12 for w in want) for v in want]
+        assert np.interp(score, xs, ys).tolist() == pytest.approx(np.maximum.accumulate([(v * s + 0.5) / (s + 1) for v, s in zip(want, size, strict=True)]).tolist())
+
+
+def test_trees_choose_the_best_cut_and_newton_leaves():
+    rng = np.random.default_rng(5)
+    x = rng.random((120, 3)).round(1)
+    y = (x[:, 1] + rng.normal(0, 0.2, 120) > 0.5).astype(int)
+    t = toxicity.Trees(depth=1).fit(x, y, rounds=1, rate=1.0, ridge=2.0, least=8)
+    p = y.mean()
+    g, h = y - p, np.full(120, p * (1 - p))
+    best = (-np.inf, None)
+    for j in range(3):
+        for edge in t.edges[j]:
+            left = x[:, j] < edge
+            if 8 <= left.sum() <= 112:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 2) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 2)
+                best = max(best, (gain, j, edge), key=lambda b: b[0])
+    _, j, edge = best
+    left = x[:, j] < edge
+    want = np.log(p / (1 - p)) + np.where(left, g[left].sum() / (h[left].sum() + 2), g[~left].sum() / (h[~left].sum() + 2))
+    assert t.score(x) == pytest.approx(want)
+
+
 def test_capitals_are_counted_over_the_whole_text():
     row = toxicity.features("yOu iDiOt", toxicity.Lexicon({}, frozenset()))
     assert row[toxicity.NAMES.index("capitals")] == 3 / 9
