@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from .functions.predicates import apply_filter, compile_filter, fit_literals
 from .operators import changes, paging, writes
 from .operators.aggregate import aggregate, grouped
-from .operators.lookup import embed, embed_all
+from .operators.lookup import embed, embed_page
 from .operators.ordering import project, sorted_by
 from .plans import filters as f
 from .plans.records import coerce_dates, merge_scope, policy_to_filter, record_to_filter, tenant_scope
 from .plans.requests import Aggregate, Bucket, Lookup, Measure, TopN, Update, combine_updates, inc_fields, set_fields, unset_fields
 from .plans.url import parse_url
-from .sources.tables import read_table
+from .sources.tables import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,10 +282,11 @@ def lookup_many(spark, d):
 
 @query("select o_orderkey, c_name, n_name, n_items from (select * from orders order by o_totalprice desc, o_orderkey limit 30 offset 30) left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join (select l_orderkey, count(*) n_items from lineitem group by 1) on l_orderkey = o_orderkey".replace("n_items from (select *", "coalesce(n_items, 0) n_items from (select *"))
 def lookup_populate_page(spark, d):
-    """The base is paged before it is joined; lookups run in order and may use each other."""
+    """The base is paged before it is joined; lookups run in order, by the page's keys, and may use each other."""
     page = paging.offset_plan(read_table(spark, d, "orders"), {"o_totalprice": -1, "o_orderkey": 1}, 2, 30)
-    out = embed_all(page, [Lookup("customer", "o_custkey", "c_custkey", single=True), Lookup("nation", "customer.c_nationkey", "n_nationkey", single=True), Lookup("lineitem", "o_orderkey", "l_orderkey")], lambda n: read_table(spark, d, n))
-    return out.select("o_orderkey", "customer.c_name", "nation.n_name", F.size("lineitem").cast("long").alias("n_items"))
+    lookups = [Lookup("customer", "o_custkey", "c_custkey", single=True), Lookup("nation", "customer.c_nationkey", "n_nationkey", single=True), Lookup("lineitem", "o_orderkey", "l_orderkey")]
+    rows, schema = embed_page(page.collect(), page.schema, lookups, lambda n: read_table(spark, d, n))  # one page
+    return spark.createDataFrame(rows, schema).select("o_orderkey", "customer.c_name", "nation.n_name", F.size("lineitem").cast("long").alias("n_items"))
 
 
 # ---- pages and reads -------------------------------------------------------
@@ -452,19 +453,18 @@ def content_hashes(spark, d):
     return c.select("c_custkey", changes.content_hash(c, "c_name", "c_custkey").alias("hash"))
 
 
-@query()
+@query(f"select op as operation, docId as id, value, lpad(event_id::varchar, 20, '0') as cursor from {LOG} where op <> 'delete' and event_id > 10")
 def watch_stream(spark, d):
     """The change feed over the events folder, drained once into parquet."""
-    import tempfile
-    import uuid
+    from .streaming.watch import change_stream, drain
 
-    from .streaming.watch import drain
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/watch-{uuid.uuid4().hex}"
+    root = scratch(spark, "watch")
     log = _log(spark, d).select("docId", "op", F.to_json(F.struct("value")).alias("doc"), F.current_timestamp().alias("at"), "cursor")
     log.write.parquet(f"{root}/log")
-    from .streaming.watch import change_stream
-
     feed = change_stream(spark, f"{root}/log", log.schema, f.ne("op", "delete"), resume_after=f"{10:020d}")
     drain(feed, f"{root}/checkpoint", f"{root}/out")
-    return spark.read.parquet(f"{root}/out").select("operation", "id", "doc", "cursor")
+    value = F.get_json_object("doc", "$.value").cast("double")
+    return spark.read.parquet(f"{root}/out").select("operation", "id", value.alias("value"), "cursor")
+
+
+from . import verb_queries  # noqa: E402, F401  adds the queries of the repository's verbs

@@ -248,7 +248,8 @@ class Repository:
         node = fit_literals(p.filter, self.schema)
         given = {"sort": p.sort, "after": p.after, "limit": p.limit, "select": p.select, "search": p.search, **context}
         if p.populate:
-            lookups = [Lookup(x.path, x.path, "id", single=True, select=x.select, where=x.match or None) for x in p.populate]
+            match = lambda x: fit_literals(record_to_filter(x.match), self.table(x.path).schema) if x.match else None
+            lookups = [Lookup(x.path, x.path, "id", single=True, select=x.select, where=match(x)) for x in p.populate]
             return self.lookup_populate(lookups, node, page=p.page, **given)
         keyset = p.after or (p.sort and p.page is None and self.key)
         return self.get_all(node, page=None if keyset else p.page or 1, most=MAX_LIMIT, **given)
