@@ -47,7 +47,19 @@ def stable(value: Any) -> str:
             return None
         return v if isinstance(v, (str, int, float, bool, type(None))) else str(v)
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    def known(v: Any) -> Any:
+        if (is_dataclass(v) and not isinstance(v, type)) or isinstance(v, (Mapping, set, frozenset, datetime, date)):
+            return plain(v)
+        return str(v)
+
+    try:  # plain JSON needs no copy
+        return _encode(value, known)
+    except (TypeError, ValueError):  # NaN, infinities, keys of mixed types
+        return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _encode(value: Any, known: Callable[[Any], Any]) -> str:
+    return json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False, default=known).encode(value)
 
 
 def fnv1a64(text: str) -> str:
@@ -110,7 +122,11 @@ class MemoryAdapter:
 
     def add_to_set(self, key: str, members: Iterable[str]) -> None:
         with self._lock:
-            self.set(key, (self.get(key) or frozenset()) | frozenset(members))
+            held = self.get(key)
+            if isinstance(held, set):
+                held.update(members)
+            else:
+                self.set(key, set(held or ()) | set(members))
 
 
 class TimeoutAdapter:
@@ -163,7 +179,7 @@ class Cache:
     def invalidate_tags(self, *tags: str) -> int:
         n = 0
         for tag in tags:
-            for key in self.adapter.get(f"{self.prefix}:tag:{tag}") or ():
+            for key in list(self.adapter.get(f"{self.prefix}:tag:{tag}") or ()):
                 self.adapter.delete(key)
                 n += 1
             self.adapter.delete(f"{self.prefix}:tag:{tag}")
