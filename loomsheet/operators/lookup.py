@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,18 +68,33 @@ def embed_page(rows: Sequence[Row], schema: T.StructType, lookups: Sequence[Look
     The foreign side is filtered by the page's keys at its scan, so only rows that the page
     asks for are grouped and sent; a lookup may use what an earlier one found.
     """
-    rows = list(rows)
-    for lookup in lookups:
+    rows, todo, done = list(rows), list(lookups), []
+
+    def find(lookup: Lookup) -> tuple[dict[Any, Any], T.DataType, list[Any]]:
         keys = [_at(r, lookup.local) for r in rows]
         side, columns = _foreign(lookup, table)
         wanted = [k for k in dict.fromkeys(keys) if k is not None]
         found = _found(side.filter(F.col(KEY).isin(*wanted)) if wanted else side.limit(0), columns, lookup.single)
-        by_key = {r[KEY]: r["__found"] for r in found.collect()} if wanted else {}
-        names = [x.name for x in schema if x.name != lookup.name]
-        make, miss = Row(*names, lookup.name), None if lookup.single else []
-        rows = [make(*(r[n] for n in names), by_key.get(k, miss)) for r, k in zip(rows, keys, strict=True)]
-        schema = T.StructType([x for x in schema if x.name != lookup.name] + [T.StructField(lookup.name, found.schema["__found"].dataType, True)])
-    return rows, schema
+        return {r[KEY]: r["__found"] for r in found.collect()} if wanted else {}, found.schema["__found"].dataType, keys
+
+    while todo:
+        # those that use nothing another one has yet to find are asked at once
+        late = {x.name for x in todo}
+        wave = [x for x in todo if x.local.split(".")[0] not in late - {x.name}] or todo[:1]
+        carry = inheritable_thread_target(table(wave[0].from_).sparkSession)  # a read that is stopped stops these too
+        with ThreadPoolExecutor(len(wave)) as pool:
+            answers = list(pool.map(carry(find), wave))
+        for lookup, (by_key, kind, keys) in zip(wave, answers, strict=True):
+            names = [x.name for x in schema if x.name != lookup.name]
+            make, miss = Row(*names, lookup.name), None if lookup.single else []
+            rows = [make(*(r[n] for n in names), by_key.get(k, miss)) for r, k in zip(rows, keys, strict=True)]
+            schema = T.StructType([x for x in schema if x.name != lookup.name] + [T.StructField(lookup.name, kind, True)])
+        done += [x.name for x in wave]
+        todo = [x for x in todo if x not in wave]
+    # lookups in the order they were asked for
+    names = [x.name for x in schema if x.name not in done] + list(dict.fromkeys(x.name for x in lookups))
+    make = Row(*names)
+    return [make(*(r[n] for n in names)) for r in rows], T.StructType([schema[n] for n in names])
 
 
 def join_flat(base: DataFrame, lookups: Sequence[Lookup], table: Callable[[str], DataFrame]) -> DataFrame:
