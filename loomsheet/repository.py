@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.predicates import apply_filter, family, fit_literals
+from .functions.predicates import apply_filter, family, family_of, fit_literals
 from .operators import paging, writes
 from .operators.aggregate import aggregate as aggregate_plan
 from .operators.aggregate import grouped
@@ -481,13 +481,93 @@ class Repository:
                 raise Invalid(f"unknown bulk operation {name!r}")
 
         def body(c: dict) -> dict[str, int]:
+            if (by_key := self._bulk_by_key(c["operations"], c)) is not None:
+                return by_key
             with_tx = self._staged is None
-            steps = lambda _=None: [one(k, v) for op in operations for k, v in op.items()]
+            steps = lambda _=None: [one(k, v) for op in c["operations"] for k, v in op.items()]
             self.transaction(steps) if with_tx else steps()
             return counts
 
         return self._run("bulkWrite", context | {"operations": operations}, body)
 
+    def _bulk_by_key(self, operations: Sequence[Mapping[str, Any]], context: Mapping[str, Any]) -> dict[str, int] | None:
+        """Bulk operations that all name rows by their key, as one read of those rows and one merge.
+
+        None if some operation does not, or if hooks, soft deletes or expressions ask for
+        them one by one.  Unique keys are checked on the outcome.
+        """
+        inner = ("create", "updateMany", "findOneAndUpdate", "deleteMany", "exists", "getOne")
+        if self.key is None or self.soft_delete or any(self.hooks.listens(op) for op in inner):
+            return None
+        kinds = {x.name: x.dataType for x in self.schema}
+        steps = []
+        for name, x in ((k, v) for op in operations for k, v in op.items()):
+            if name == "insertOne":
+                doc = self._stamp([x["document"]], context)[0]
+                steps.append((name, doc.get(self.key), Update(set={k: v for k, v in doc.items() if k in kinds}), False))
+                continue
+            if name not in ("updateOne", "updateMany", "replaceOne", "deleteOne", "deleteMany"):
+                return None
+            node = record_to_filter(x["filter"])
+            if node.op != "eq" or node.field != self.key or family(kinds[self.key]) != family_of(node.value):
+                return None
+            if name == "replaceOne":
+                change = Update(set={n: x["replacement"].get(n) for n in kinds if n != self.key})
+            else:
+                change = x.get("update", Update())
+                change = change if is_update(change) else update(set=change)
+            if self.key in {*change.set, *change.inc, *change.unset} or not {*change.set, *change.inc, *change.set_on_insert} <= set(kinds):
+                return None
+            steps.append((name, node.value, change, bool(x.get("upsert"))))
+        values = [v for _, _, change, _ in steps for part in (change.set, change.inc, change.set_on_insert) for v in part.values()]
+        if any(k is None for _, k, _, _ in steps) or any(isinstance(v, Column) or callable(v) for v in values):
+            return None
+        keys = list(dict.fromkeys(k for _, k, _, _ in steps))
+        among = f.in_(self.key, keys)
+        taken = {r[0] for r in apply_filter(self.read(), among).select(self.key).collect()}
+        rows = {r[self.key]: r.asDict() for r in apply_filter(self.read(), f.and_(among, self._scope(None, context))).collect()}
+        hidden, counts = taken - rows.keys(), dict.fromkeys(("inserted", "matched", "modified", "deleted", "upserted"), 0)
+        for name, k, change, upsert in steps:
+            row = rows.get(k)
+            if name == "insertOne" or (row is None and upsert):
+                if row is not None or k in hidden:
+                    raise DuplicateKey(f"duplicate key ({self.key!r},)", {"fields": [self.key]})
+                new = change.set if name == "insertOne" else self._stamp([writes.insert_document(f.eq(self.key, k), change)], context)[0]
+                rows[k] = dict.fromkeys(kinds) | {n: v for n, v in new.items() if n in kinds}
+                counts["inserted" if name == "insertOne" else "upserted"] += 1
+            elif row is not None and name.startswith("delete"):
+                del rows[k]
+                counts["deleted"] += 1
+            elif row is not None:
+                after = row | dict(change.set) | dict.fromkeys(n for n in change.unset if n in kinds) | {n: (row[n] or 0) + by for n, by in change.inc.items()}
+                counts["matched"] += 1
+                counts["modified"] += after != row or name != "updateMany"
+                rows[k] = after
+        if not any(counts.values()):
+            return counts
+        final = [{n: self._fit(v, kinds[n]) for n, v in row.items()} for row in rows.values()]
+        for fields in self.unique:
+            held = [x for x in (tuple(r[n] for n in fields) for r in final) if None not in x]
+            clash = f.or_(*(f.and_(*(f.eq(n, v) for n, v in zip(fields, x, strict=True))) for x in held))
+            others = f.and_(clash, f.not_(among))
+            if len(set(held)) < len(held) or (held and not apply_filter(self.read(), others).isEmpty()):
+                raise DuplicateKey(f"duplicate key {tuple(fields)}", {"fields": list(fields)})
+        gone = f.and_(among, f.nin(self.key, list(hidden)))
+        merged = lambda df: writes.inserted(writes.deleted(df, gone), final)
+        if self._staged is not None or (taken - hidden):
+            self._publish(merged, gone)
+        else:
+            expected = self.source.version
+            self.source.append(writes.rows_of(self.source.read(), final), expected)
+        return counts
+
+    @staticmethod
+    def _fit(value: Any, kind: T.DataType) -> Any:
+        """Numbers as their column's type holds them."""
+        if isinstance(kind, (T.DoubleType, T.FloatType)) and isinstance(value, int) and not isinstance(value, bool):
+            return float(value)
+        return int(value) if isinstance(kind, T.IntegralType) and isinstance(value, float) and value == int(value) else value
+
     def claim(self, value: Any, field: str, from_: Any, to: Any, where: Any = None, patch: Update | None = None, **context: Any) -> Row | None:
         """Compare and set; None if another was first."""
 

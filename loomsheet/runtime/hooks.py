@@ -38,6 +38,10 @@ class Hooks:
         self._by_event[event].sort(key=lambda e: e[:2])
         return lambda: self._by_event[event].remove(entry)
 
+    def listens(self, op: str) -> bool:
+        """Whether anything is called before, after or on an error of the operation."""
+        return any(self._by_event.get(f"{when}:{op}") for when in ("before", "after", "error"))
+
     def emit(self, event: str, context: dict) -> None:
         for _, _, call in list(self._by_event.get(event, ())):
             call(context)

@@ -454,3 +454,26 @@ def test_codes_on_the_wire():
     own = errors.Conflict("x")
     own.code = "idempotency_conflict"
     assert wire(own) == "idempotency_conflict"
+
+
+def test_bulk_by_key_is_one_merge_and_equals_the_steps(spark, repo, tmp_path):
+    steps = [
+        {"insertOne": {"document": {"id": "b", "name": "b", "count": 1}}}, {"updateOne": {"filter": {"id": "b"}, "update": inc_fields(count=4)}},
+        {"updateMany": {"filter": {"id": "u1"}, "update": {"category": None}}}, {"updateMany": {"filter": {"id": "u2"}, "update": {"count": 2}}},
+        {"deleteOne": {"filter": {"id": "u3"}}}, {"insertOne": {"document": {"id": "u3", "name": "again"}}}, {"deleteMany": {"filter": {"id": "nobody"}}},
+        {"updateOne": {"filter": {"id": "c"}, "update": set_on_insert_fields(name="c"), "upsert": True}}, {"replaceOne": {"filter": {"id": "u4"}, "replacement": {"name": "r"}}},
+    ]
+    other = Repository("users", SnapshotTable(spark, f"{tmp_path}/other", "id").create(repo.read()), unique=[("name",)])
+    other.hooks.on("after:create", lambda c: None)  # one by one
+    version = repo.source.version
+    assert repo.bulk_write(steps) == other.bulk_write(steps) and repo.source.version == version + 1
+    assert sorted(map(str, repo.read().collect())) == sorted(map(str, other.read().collect()))
+    for bad in ({"insertOne": {"document": {"id": "u5"}}}, {"updateOne": {"filter": {"id": "u5"}, "update": {"name": "n6"}}}):
+        with pytest.raises(errors.DuplicateKey):
+            repo.bulk_write([{"deleteOne": {"filter": {"id": "u9"}}}, bad])
+    assert repo.exists({"id": "u9"})
+    assert repo.bulk_write([{"insertOne": {"document": {"id": "new", "name": "new"}}}])["inserted"] == 1 and repo.get_by_id("new")["count"] is None
+    tenant = Repository("users", repo.source, tenancy=control.Tenancy())
+    assert tenant.bulk_write([{"deleteOne": {"filter": {"id": "u9"}}}], tenant="org-a")["deleted"] == 0 and repo.exists({"id": "u9"})
+    with pytest.raises(errors.DuplicateKey):
+        tenant.bulk_write([{"insertOne": {"document": {"id": "u9"}}}], tenant="org-a")
