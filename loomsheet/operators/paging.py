@@ -135,6 +135,7 @@ def _payload(token: str, what: str) -> dict:
 
 def encode_cursor(row: Mapping[str, Any], sort: Mapping[str, int], key: str, version: int = VERSION) -> str:
     first = primary_field(sort, key)
+    # fixed names: the token is a wire format
     values = {k: row[k] for k in sort}
     payload = {
         "v": _pack(row[first]), "t": _tag(row[first]), "id": _pack(row[key]), "idType": _tag(row[key]), "sort": dict(sort), "ver": version,

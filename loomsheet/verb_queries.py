@@ -543,12 +543,12 @@ def guard_partition_key(spark, d):
     return listed(spark, found)
 
 
-@query("select user_id::varchar as docId, case when event_type = 'purchase' then 'delete' else 'update' end as op, lpad((row_number() over (order by event_id))::varchar, 20, '0') as cursor from events where event_id <= 40 and event_id > 10")
+@query("select n_nationkey::varchar as docId, case when n_regionkey = 1 then 'delete' else 'update' end as op, lpad((row_number() over (order by n_nationkey))::varchar, 20, '0') as cursor from nation")
 def changelog_append(spark, d):
-    """Entries get their numbers in the order they are appended; a pruned log goes on counting."""
-    rows = read_table(spark, d, "events").filter("event_id <= 40 and event_id > 10").orderBy("event_id").select("user_id", "event_type").collect()
+    """Entries get their numbers in the order they are appended, over several calls."""
+    rows = read_table(spark, d, "nation").orderBy("n_nationkey").collect()
     log = AppendLog(spark, scratch(spark, "log"))
-    entries = [{"scope": "users", "docId": str(r["user_id"]), "op": "delete" if r["event_type"] == "purchase" else "update", "doc": {}} for r in rows]
+    entries = [{"scope": "nations", "docId": str(r["n_nationkey"]), "op": "delete" if r["n_regionkey"] == 1 else "update", "doc": {"name": r["n_name"]}} for r in rows]
     log.append(entries[:10])
     log.append(entries[10:])
     page = log.since(None, limit=500)
