@@ -20,6 +20,7 @@ nothing.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import BASES, U64, Rolling, chunks_by_size, mix64, partitions_for, sliding_min, small_batches, table, text_bytes
+from ._common import BASES, U64, Rolling, carried, chunks_by_size, forget_at_exit, input_bytes, mix64, partitions_for, shared_folder, sliding_min, small_batches, table, text_bytes
 from .suffix_arrays import repeated_windows
 
 #: Window lengths, and the anchors' gram lengths.
@@ -38,6 +39,9 @@ WORDS, WORD_GRAM = 50, 20
 BYTES, BYTE_GRAM = 50, 20
 #: Entries and bytes that a task holds before it sends them off.
 FLUSH, FLUSH_BYTES = 1_000_000, 16 << 20
+#: An anchor in more documents than this, and than one for so many bytes of input, is hot: its runs
+#: would fill a shard. Of 100 TB (6.5e12 anchors at most) two million are at most, 16 MB.
+HOT, HOT_BYTES = 25_000, 32_000_000
 
 
 class ByteTokens:
@@ -117,7 +121,7 @@ def unpacked(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=kind) if ascending else a
 
 
-def blobs(bucket: np.ndarray, n: int, sure: bool, doc: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[dict, np.ndarray]]:
+def blobs(bucket: np.ndarray, n: int, sure: int, doc: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[dict, np.ndarray]]:
     """A row for each bucket that has entries, sorted by document, and the entries' places."""
     order = np.lexsort((doc, bucket))
     ends = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -127,7 +131,7 @@ def blobs(bucket: np.ndarray, n: int, sure: bool, doc: np.ndarray, columns: list
 
 
 def as_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "sure": pa.bool_()}
+    kinds = {"bucket": pa.int32(), "sure": pa.int8()}
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in names], names=names)
 
 
@@ -135,13 +139,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.hash("text").alias("th"), "text")
 
 
-#: The document of an entry that only says: this anchor is in two documents.
-NO_DOC = np.iinfo(np.int64).min
+#: Kinds of entries: to be compared; settled within a task; a count that tells other tasks of an anchor settled there.
+OPEN, SURE, TOLD = 0, 1, 2
 LOW_BITS = U64((1 << 40) - 1)
 
 
-def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int, n: int) -> DataFrame:
-    """(doc_id, anchor): the low 40 bits of every anchor that also occurs in another document."""
+def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int, n: int, hot: int | None = None) -> DataFrame:
+    """(doc_id, anchor): the low 40 bits of every anchor that also occurs in another document.
+
+    With ``hot``, anchors that stand in more documents than that are also given once with a
+    null doc_id (counted task by task; texts met in two tasks count twice).
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, runs, held, size = tokens(), Runs(length, gram), [], 0
@@ -156,15 +164,16 @@ def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int,
             anchor, doc = anchor[order], doc[order]
             bucket = ((anchor >> U64(40)) % U64(n)).astype(np.int64)
             low = (anchor & LOW_BITS).view(np.uint8).reshape(-1, 8)[:, :5]
-            # shared within this task: certain; one entry still tells other tasks
+            # shared within this task: certain; one entry with their number still tells other tasks
             first = np.ones(len(anchor), bool)
             first[1:] = anchor[1:] != anchor[:-1]
             told = many & first
+            number = np.diff(np.append(np.flatnonzero(first), len(anchor)))[many[first]]
             spread += 1
             parts = [
-                (bucket[~many], False, doc[~many], low[~many]),
-                (bucket[told], False, np.full(told.sum(), NO_DOC), low[told]),
-                ((np.arange(many.sum()) // 4096 + spread * 7919) % n, True, doc[many], low[many]),
+                (bucket[~many], OPEN, doc[~many], low[~many]),
+                (bucket[told], TOLD, number, low[told]),
+                ((np.arange(many.sum()) // 4096 + spread * 7919) % n, SURE, doc[many], low[many]),
             ]
             rows = [r for b, sure, d, x in parts for r, _ in blobs(b, n, sure, d, [np.ascontiguousarray(x)])]
             for i in range(0, len(rows), 2048):
@@ -188,34 +197,47 @@ def repeated_anchors(docs: DataFrame, tokens: Callable, length: int, gram: int,
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, entries = [], {}
+        def out(anchor: np.ndarray, doc: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(anchor), 50_000):
+                s = slice(i, i + 50_000)
+                ids = pa.nulls(len(anchor[s]), pa.int64()) if doc is None else pa.array(doc[s])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[s].view(np.int64))], names=["doc_id", "anchor"])
+
+        entries: dict[int, list] = {}
         for batch in batches:
             for bucket, sure, c0, c1 in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sure", "c0", "c1")), strict=True):
                 low = unpacked(c1, np.dtype("V5")).view(np.uint8).reshape(-1, 5)
                 anchor = np.zeros((len(low), 8), np.uint8)
                 anchor[:, :5] = low
-                (found if sure else entries.setdefault(bucket, [])).append((anchor.reshape(-1).view(U64), unpacked(c0, np.int64, True)))
+                pair = anchor.reshape(-1).view(U64), unpacked(c0, np.int64, True)
+                if sure == SURE:
+                    yield from out(*pair)
+                else:
+                    entries.setdefault(bucket, []).append((*pair, np.full(len(pair[0]), sure == TOLD)))
         for parts in entries.values():
-            anchor, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, _, many = least_and_rest((anchor,), doc)
+            anchor, doc, told = (np.concatenate(x) for x in zip(*parts, strict=True))
+            some = np.unique(anchor[told])
+            one, docs_of = anchor[~told], doc[~told]
+            order, _, many = least_and_rest((one,), docs_of)
             # an anchor that some task found in two documents counts for all
-            many |= np.isin(anchor[order], np.unique(anchor[doc == NO_DOC]))
-            pick = order[many]
-            pick = pick[doc[pick] != NO_DOC]
-            found.append((anchor[pick], doc[pick]))
-        for anchor, doc in found:
-            for i in range(0, len(anchor), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(anchor[s].view(np.int64))], names=["doc_id", "anchor"])
-
-    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(send, "bucket int, sure boolean, c0 binary, c1 binary")
+            pick = order[many | np.isin(one[order], some)]
+            yield from out(one[pick], docs_of[pick])
+            if hot is not None:
+                values, at = np.unique(anchor, return_inverse=True)
+                counts = np.bincount(at, np.where(told, doc, 1))
+                yield from out(values[counts > hot], None)
+
+    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(send, "bucket int, sure tinyint, c0 binary, c1 binary")
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, "doc_id long, anchor long")
 
 
-def with_hits(docs: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
+def by_doc(hits: DataFrame, *columns: str) -> DataFrame:
+    return hits.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"hit_{c}") for c in columns])
+
+
+def with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """Documents, and for each the list of its hits (null: none)."""
-    by_doc = hits.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"hit_{c}") for c in columns])
-    return docs.join(by_doc.hint("merge"), "doc_id", "left")
+    return docs.join(hits.hint("merge"), "doc_id", "left")
 
 
 def own_hits(batch: pa.RecordBatch, *columns: str) -> Iterator[list[np.ndarray] | None]:
@@ -225,7 +247,7 @@ def own_hits(batch: pa.RecordBatch, *columns: str) -> Iterator[list[np.ndarray]
             yield None
             continue
         own = of.values.to_numpy() == th
-        yield [x.values.to_numpy()[own] for x in lists]
+        yield [x.values.to_numpy(zero_copy_only=False)[own] for x in lists]
 
 
 def candidate_runs(batch: pa.RecordBatch, read, runs: Runs) -> Iterator[tuple]:
@@ -252,8 +274,12 @@ def remove_repeated_words(docs: DataFrame, length: int = WORDS, gram: int = WORD
     """Per row: doc_id, n_words, n_removed, kept_sha256 (see the module for what is removed).
 
     Windows of candidate runs get two Rabin-Karp hashes; Spark takes each pair's least
-    document; the repeated windows of a row are merged into maximal intervals.  Null or
-    blank text has no words and keeps the empty string.  Other columns are not read.
+    document; the repeated windows of a row are merged into maximal intervals.  A task
+    sends a window once for each text at most, with all its places there, however often it
+    stands in a very long text.  Null or blank text has no words and keeps the empty
+    string.  Rows that repeat a doc_id never remove from each other; repeated rows are
+    answered each.  A null doc_id keeps all and removes nothing.  An empty table gives no
+    rows.  Other columns are not read, so their names cannot clash.
     """
     small_batches(docs.sparkSession)
     n = partitions_for(docs, 16 << 20)
@@ -268,16 +294,41 @@ def remove_repeated_words(docs: DataFrame, length: int = WORDS, gram: int = WORD
             nonlocal alone
             h1, h2, doc, th, at = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, low, _ = least_and_rest((h1, h2), doc)
+            order = np.lexsort((at, th, doc, h1, h2))
             h1, h2, doc, th, at = (x[order] for x in (h1, h2, doc, th, at))
-            # of equal windows in this task only those of the least document need to be compared further
-            sure = doc > low
-            alone = mix64(alone)
-            h1[sure] = mix64(np.arange(sure.sum(), dtype=U64) + alone)
-            for i in range(0, len(doc), 50_000):
+            new = np.ones(len(doc), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            # of equal windows in this task only those of the least document need to be compared further,
+            # and those of one text share their fate
+            sure = doc > doc[new][np.cumsum(new) - 1]
+            new[1:] |= (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+            loose = ~sure
+            first, places = starts(new[loose]), at[loose]
+            yield from sent((h1[loose][first], h2[loose][first], doc[loose][first], th[loose][first]), first, places, False)
+            if sure.any():
+                alone = mix64(alone)
+                doc, th, at = doc[sure], th[sure], at[sure]
+                order = np.lexsort((at, th, doc))
+                doc, th, at = doc[order], th[order], at[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+                first = starts(new)
+                spread = mix64(np.arange(len(first), dtype=U64) + alone)
+                yield from sent((spread, spread, doc[first], th[first]), first, at, True)
+
+        def starts(new: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(new)
+
+        def sent(columns: tuple, first: np.ndarray, at: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
+            """Rows with the places of each: one binary value of int32."""
+            h1, h2, doc, th = columns
+            offsets = (np.append(first, len(at)) * 4).astype(np.int32)
+            data = pa.py_buffer(np.ascontiguousarray(at, np.int32))
+            places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), data])
+            for i in range(0, len(first), 50_000):
                 s = slice(i, i + 50_000)
-                cols = (h1[s].view(np.int64), h2[s].view(np.int64), doc[s], th[s], at[s], low[s])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "th", "at", "low"])
+                cols = [pa.array(c) for c in (h1[s].view(np.int64), h2[s].view(np.int64), doc[s], th[s])]
+                yield pa.RecordBatch.from_arrays([*cols, places[s], pa.array(np.full(len(doc[s]), sure))], names=["h1", "h2", "doc_id", "th", "at", "sure"])
 
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy()
@@ -294,9 +345,10 @@ def remove_repeated_words(docs: DataFrame, length: int = WORDS, gram: int = WORD
         if size:
             yield from flush()
 
-    found = with_hits(docs, hits, "anchor").mapInArrow(windows, "h1 long, h2 long, doc_id long, th int, at int, low long")
-    least = F.min("low").over(W.partitionBy("h1", "h2"))
-    repeated = found.withColumn("least", least).filter("doc_id > least").select("doc_id", "th", "at")
+    found = with_hits(docs, by_doc(hits, "anchor")).mapInArrow(windows, "h1 long, h2 long, doc_id long, th int, at binary, sure boolean")
+    # a key holds one row for each task that met its window
+    least = F.min("doc_id").over(W.partitionBy("h1", "h2"))
+    repeated = found.withColumn("least", least).filter("sure or doc_id > least").select("doc_id", "th", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,14 +356,14 @@ def remove_repeated_words(docs: DataFrame, length: int = WORDS, gram: int = WORD
             for text, hit in zip(text_bytes(batch), own_hits(batch, "at"), strict=True):
                 words = text.split()
                 total = len(words)
-                if hit:
-                    gone = covered(hit[0], length, total)
+                if hit and len(hit[0]):
+                    gone = covered(np.frombuffer(b"".join(hit[0].tolist()), np.int32), length, total)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((total, total - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_hits(docs, repeated, "th", "at").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_hits(docs, by_doc(repeated, "th", "at")).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def covered(starts: np.ndarray, length: np.ndarray | int, n: int) -> np.ndarray:
@@ -351,11 +403,11 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
             sure[sure] = [texts[a] == texts[b] for a, b in zip(order[sure].tolist(), first[sure].tolist(), strict=True)]
             rest, gone = order[~sure], order[sure]
             rows = []
-            for row, places in blobs(((anchor[rest] >> U64(40)) % U64(n)).astype(np.int64), n, False, doc[rest], [x[rest] for x in (th, at, count)]):
+            for row, places in blobs(((anchor[rest] >> U64(40)) % U64(n)).astype(np.int64), n, OPEN, doc[rest], [x[rest] for x in (th, at, count)]):
                 row["texts"] = zstandard.compress(b"".join([texts[k] for k in rest[places].tolist()]), 3)
                 rows.append(row)
             spread += 1
-            rows += [r for r, _ in blobs((np.arange(len(gone)) // 4096 + spread * 7919) % n, n, True, doc[gone], [x[gone] for x in (th, at, count)])]
+            rows += [r for r, _ in blobs((np.arange(len(gone)) // 4096 + spread * 7919) % n, n, SURE, doc[gone], [x[gone] for x in (th, at, count)])]
             for i in range(0, len(rows), 256):
                 yield as_batch(rows[i : i + 256], names)
 
@@ -381,7 +433,7 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
         for batch in batches:
             for sure, blob, *cols in zip(*(batch.column(c).to_pylist() for c in ("sure", "texts", "c0", "c1", "c2", "c3")), strict=True):
                 doc, th, at, count = (unpacked(c, t, not i) for i, (c, t) in enumerate(zip(cols, kinds, strict=True)))
-                if sure:
+                if sure == SURE:
                     yield out(doc, th, at, count + length - 1)
                     continue
                 entries.append((doc, th, at, count))
@@ -393,8 +445,8 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
             which, first, starts = repeated_windows(texts, doc, length)
             yield out(doc[which], th[which], at[which] + first, starts + length - 1)
 
-    fields = "bucket int, sure boolean, c0 binary, c1 binary, c2 binary, c3 binary, texts binary"
-    sent = with_hits(docs, hits, "anchor").mapInArrow(send, fields)
+    fields = "bucket int, sure tinyint, c0 binary, c1 binary, c2 binary, c3 binary, texts binary"
+    sent = with_hits(docs, by_doc(hits, "anchor")).mapInArrow(send, fields)
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, "doc_id long, th int, at int, size int")
 
 
@@ -410,7 +462,13 @@ def cut_spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = BYTES) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text is empty; other columns are not read."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null text is empty.  Very long and repetitive texts need memory for a few copies of
+    one text.  Rows that repeat a doc_id never remove from each other; repeated rows are
+    answered each.  A null doc_id keeps all and removes nothing.  An empty table gives no
+    rows.  Other columns are not read, so their names cannot clash.
+    """
     small_batches(docs.sparkSession)
     docs = keyed(docs)
 
@@ -421,7 +479,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = BYTES) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = with_hits(docs, repeated_spans(docs, length), "th", "at", "size")
+    marked = with_hits(docs, by_doc(repeated_spans(docs, length), "th", "at", "size"))
     return marked.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -429,12 +487,13 @@ def clean_documents(docs: DataFrame, length: int = BYTES) -> DataFrame:
     """The same rows and columns, repeated bytes cut from the texts and ``n_chars`` (if there) counted anew.
 
     A character of which only some bytes go is left out.  Null text stays null; a text that
-    goes whole is empty.
+    goes whole is empty.  Repeated rows stay each, cut alike; a null doc_id is left whole.
+    Other columns travel in one struct, so their names cannot clash; an empty table stays so.
     """
     small_batches(docs.sparkSession)
     columns, schema = docs.columns, docs.schema
     others = [c for c in columns if c not in ("doc_id", "text")]
-    wide = docs.select("doc_id", F.hash("text").alias("th"), "text", F.struct(F.lit(None).cast("string").alias("_"), *others).alias("rest"))
+    wide = docs.select("doc_id", F.hash("text").alias("th"), "text", carried(others).alias("rest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,7 +507,7 @@ def clean_documents(docs: DataFrame, length: int = BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([cols[c] for c in columns], names=columns)
 
     hits = repeated_spans(keyed(docs), length)
-    return with_hits(wide, hits, "th", "at", "size").mapInArrow(cut, schema)
+    return with_hits(wide, by_doc(hits, "th", "at", "size")).mapInArrow(cut, schema)
 
 
 def op2_rabin_karp_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

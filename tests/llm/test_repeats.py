@@ -71,6 +71,32 @@ def test_small_flushes_and_shards_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, repeats.remove_repeated_bytes(fixtures.docs(spark)).collect()), key=str) == whole
 
 
+def very_repetitive(spark):
+    long = ("na " * 4000).strip()
+    line = "a line of thirty bytes or so"
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, f"{noise(90)}{line}{noise(90)}") for i in range(60)] + [(70, long), (71, "x " + long), (72, long[:900]), (-(1 << 63), long[:600])]
+    rows += [(80 + i, f"{noise(60)}{line} {line}{noise(60)}") for i in range(40)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("hot", [5, 10**9])
+def test_hot_anchors_and_long_repetitive_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows, df = very_repetitive(spark)
+    low = least(rows, split_bytes, 50)
+    want = []
+    for i, t in rows:
+        gone = covered(t.encode(), i, low, 50)
+        want.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum())))
+    got = [tuple(r)[:4] for r in repeats.remove_repeated_bytes(df).collect()]
+    assert sorted(got) == sorted(want)
+    low = least(rows, split_words, 50)
+    want = [(i, len(t.split()), int(covered(t.encode().split(), i, low, 50).sum())) for i, t in rows]
+    assert sorted(tuple(r)[:3] for r in repeats.remove_repeated_words(df).collect()) == sorted(want)
+
+
 def test_runs_of_equal_hash_are_compared_by_bytes(spark, monkeypatch):
     whole = sorted(map(tuple, repeats.remove_repeated_bytes(fixtures.docs(spark).coalesce(1)).collect()), key=str)
     monkeypatch.setattr(repeats, "mix64", lambda x: np.zeros(len(x), np.uint64))  # every run of an anchor collides
