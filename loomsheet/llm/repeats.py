@@ -378,16 +378,29 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
     """(doc_id, th, at, size): byte spans to remove from ``keyed`` documents; spans may overlap.
 
     The text of candidate runs goes to shards by anchor; each shard builds suffix arrays
-    (see ``suffix_arrays``) and compares them by binary search.
+    (see ``suffix_arrays``) and compares them by binary search.  The runs of an anchor that
+    stands in very many documents (a line that a third of them share, in unlike
+    surroundings) are sent window by window, dealt by the window's hash, so a task settles
+    all but one of equal windows and no shard gathers the runs of one anchor.
     """
+    spark = docs.sparkSession
     n = partitions_for(docs, 2 << 20)
-    hits = repeated_anchors(docs, ByteTokens, length, gram, n)
+    total = input_bytes(docs)
+    most = max(HOT, (total if total < 1 << 58 else 0) // HOT_BYTES)
+    # kept in the shared folder, for the anchors of very many documents must be known before texts are sent
+    folder = f"{shared_folder(spark)}/anchors-{uuid.uuid4().hex}"
+    forget_at_exit(spark, folder)
+    by_doc(repeated_anchors(docs, ByteTokens, length, gram, n, most), "anchor").write.parquet(folder)
+    hits = spark.read.parquet(folder)
+    told = hits.filter("doc_id is null").select(F.explode("hit_anchor").alias("anchor")).collect()  # bounded: see HOT_BYTES
+    hot = np.unique(np.asarray([r["anchor"] for r in told], np.int64)).view(U64)
+    hits = hits.filter("doc_id is not null")
     kinds = (np.int64, np.int32, np.int32, np.int32)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, runs, held, size = ByteTokens(), Runs(length, gram), [], 0
         spread = TaskContext.get().partitionId()
-        names = ["bucket", "sure", "c0", "c1", "c2", "c3", "texts"]
+        names = ["bucket", "sure", "c0", "c1", "c2", "c3", "c4", "texts"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal spread
@@ -402,12 +415,21 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             sure[sure] = [texts[a] == texts[b] for a, b in zip(order[sure].tolist(), first[sure].tolist(), strict=True)]
             rest, gone = order[~sure], order[sure]
+            # settled runs of one text that go on into each other are one
+            gone = gone[np.lexsort((at[gone], th[gone], doc[gone]))]
+            new = np.ones(len(gone), bool)
+            new[1:] = (doc[gone][1:] != doc[gone][:-1]) | (th[gone][1:] != th[gone][:-1]) | (at[gone][1:] != (at[gone] + count[gone])[:-1])
+            head = np.flatnonzero(new)
+            joined = np.add.reduceat(count[gone], head).astype(np.int32) if len(gone) else count[gone]
+            gone = gone[head]
             rows = []
-            for row, places in blobs(((anchor[rest] >> U64(40)) % U64(n)).astype(np.int64), n, OPEN, doc[rest], [x[rest] for x in (th, at, count)]):
+            # three bytes of an entry's anchor: entries of others need not be compared
+            near = anchor.view(np.uint8).reshape(-1, 8)[:, :3]
+            for row, places in blobs(((anchor[rest] >> U64(40)) % U64(n)).astype(np.int64), n, OPEN, doc[rest], [x[rest] for x in (th, at, count, near)]):
                 row["texts"] = zstandard.compress(b"".join([texts[k] for k in rest[places].tolist()]), 3)
                 rows.append(row)
             spread += 1
-            rows += [r for r, _ in blobs((np.arange(len(gone)) // 4096 + spread * 7919) % n, n, SURE, doc[gone], [x[gone] for x in (th, at, count)])]
+            rows += [r for r, _ in blobs((np.arange(len(gone)) // 4096 + spread * 7919) % n, n, SURE, doc[gone], [th[gone], at[gone], joined])]  # (no c4)
             for i in range(0, len(rows), 256):
                 yield as_batch(rows[i : i + 256], names)
 
@@ -415,8 +437,17 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
             ids, hashes = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy()
             for texts, rows, tokens, ends, anchor, doc, start, count in candidate_runs(batch, read, runs):
                 flat = b"".join(texts)
+                prefix = runs.rolling.prefix(tokens)
+                single = np.isin(anchor & LOW_BITS, hot) if len(hot) else np.zeros(len(anchor), bool)
+                if single.any():
+                    # runs of such anchors become their windows, each its own anchor
+                    n_of = np.where(single, count, 1)
+                    step = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+                    anchor, doc, start, count, single = (np.repeat(x, n_of) for x in (anchor, doc, start, count, single))
+                    start, count = start + step, np.where(single, 1, count)
+                    anchor = np.where(single, mix64(runs.rolling.spans(prefix, start, start + length) ^ U64(BASES[1])), anchor)
                 stop = start + count + length - 1
-                whole = mix64(runs.rolling.spans(runs.rolling.prefix(tokens), start, stop) + count.astype(U64))
+                whole = mix64(runs.rolling.spans(prefix, start, stop) + count.astype(U64))
                 begin = np.concatenate(([0], ends[:-1]))[doc]
                 cut = [flat[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
                 held.append((cut, anchor, whole, ids[rows[doc]].astype(np.int64), hashes[rows[doc]], (start - begin).astype(np.int32), count.astype(np.int32)))
@@ -431,22 +462,34 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, gram: int = BYTE_GRAM)
         out = lambda doc, th, at, size: pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, th, at.astype(np.int32), size.astype(np.int32))], names=["doc_id", "th", "at", "size"])
         entries, texts = [], []
         for batch in batches:
-            for sure, blob, *cols in zip(*(batch.column(c).to_pylist() for c in ("sure", "texts", "c0", "c1", "c2", "c3")), strict=True):
+            for sure, blob, near, *cols in zip(*(batch.column(c).to_pylist() for c in ("sure", "texts", "c4", "c0", "c1", "c2", "c3")), strict=True):
                 doc, th, at, count = (unpacked(c, t, not i) for i, (c, t) in enumerate(zip(cols, kinds, strict=True)))
                 if sure == SURE:
                     yield out(doc, th, at, count + length - 1)
                     continue
-                entries.append((doc, th, at, count))
+                three = unpacked(near, np.dtype("V3")).view(np.uint8).reshape(-1, 3).astype(np.int64)
+                entries.append((doc, th, at, count, three @ np.asarray([1, 1 << 8, 1 << 16])))
                 blob = zstandard.decompress(blob)
                 ends = np.cumsum(count.astype(np.int64) + length - 1).tolist()
                 texts += [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         if entries:
-            doc, th, at, _ = (np.concatenate(x) for x in zip(*entries, strict=True))
-            which, first, starts = repeated_windows(texts, doc, length)
+            doc, th, at, count, anchor = (np.concatenate(x) for x in zip(*entries, strict=True))
+            # where an anchor stands in one text only (in copies) there is nothing to compare: the least document keeps it
+            number: dict[bytes, int] = {}
+            of = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+            least = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, doc)
+            _, anchor = np.unique(anchor, return_inverse=True)
+            different = np.bincount(np.unique(anchor * len(number) + of) // len(number))[anchor]
+            copy = (different == 1) & (doc > least[of])
+            yield out(doc[copy], th[copy], at[copy], count[copy] + length - 1)
+            rest = np.flatnonzero(different > 1)
+            which, first, starts = repeated_windows([texts[i] for i in rest.tolist()], doc[rest], length)
+            which = rest[which]
             yield out(doc[which], th[which], at[which] + first, starts + length - 1)
 
-    fields = "bucket int, sure tinyint, c0 binary, c1 binary, c2 binary, c3 binary, texts binary"
-    sent = with_hits(docs, by_doc(hits, "anchor")).mapInArrow(send, fields)
+    fields = "bucket int, sure tinyint, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, texts binary"
+    sent = with_hits(docs, hits).mapInArrow(send, fields)
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, "doc_id long, th int, at int, size int")
 
 

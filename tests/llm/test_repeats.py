@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from loomsheet.llm import repeats
+from loomsheet.llm import repeats, suffix_arrays
 from loomsheet.llm.suffix_arrays import kasai, repeated_windows, suffix_array
 
 from . import fixtures
@@ -97,6 +97,16 @@ def test_hot_anchors_and_long_repetitive_texts(spark, monkeypatch, hot):
     assert sorted(tuple(r)[:3] for r in repeats.remove_repeated_words(df).collect()) == sorted(want)
 
 
+def test_merging_in_ranges_changes_nothing(monkeypatch):
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(10, 90))) for _ in range(80)]
+    doc = np.asarray([rng.randint(0, 30) for _ in texts])
+    whole = [x.tolist() for x in repeated_windows(texts, doc, 12, 1 << 20)]
+    monkeypatch.setattr(suffix_arrays, "RANGE", 40)
+    pairs = lambda got: {(e, a + k) for e, a, n in zip(*got, strict=True) for k in range(n)}
+    assert pairs(x.tolist() for x in repeated_windows(texts, doc, 12, 200)) == pairs(whole)
+
+
 def test_runs_of_equal_hash_are_compared_by_bytes(spark, monkeypatch):
     whole = sorted(map(tuple, repeats.remove_repeated_bytes(fixtures.docs(spark).coalesce(1)).collect()), key=str)
     monkeypatch.setattr(repeats, "mix64", lambda x: np.zeros(len(x), np.uint64))  # every run of an anchor collides
@@ -135,6 +145,26 @@ def test_suffix_array_and_prefixes(seed):
         assert lcp[k] == n
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_terminators_of_their_own(seed):
+    rng = random.Random(seed)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 9, 40]))) for _ in range(30)]
+    x, left, plain = [], [], []
+    for k, t in enumerate(texts):
+        x += [b + 1 for b in t] + [0]
+        left += range(len(t), -1, -1)
+        plain += [b + 100 for b in t] + [k]  # terminators in the order of the texts
+    symbols = np.asarray(x, np.uint16)
+    sa = suffix_array(symbols, np.asarray(left))
+    assert sa.tolist() == sorted(range(len(x)), key=lambda i: plain[i:])
+    lcp = kasai(symbols, sa, 8)
+    for k in range(1, len(sa)):
+        a, b, n = x[sa[k - 1] :], x[sa[k] :], 0
+        while n < min(len(a), len(b), 8) and a[n] == b[n] and a[n]:
+            n += 1
+        assert lcp[k] == n
+
+
 @pytest.mark.parametrize("shard", [60, 400, 1 << 20])
 def test_windows_over_shards(shard):
     rng = random.Random(shard)
