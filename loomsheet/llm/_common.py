@@ -198,22 +198,25 @@ def carried(columns: list[str]) -> Column:
     return F.struct(F.lit(None).cast("string").alias(free), *[F.col("`" + c.replace("`", "``") + "`") for c in columns])
 
 
-def hubs_of(df: DataFrame, keys: list[str], n: int) -> DataFrame | None:
+def hubs_of(df: DataFrame, keys: list[str], n: int, values: DataFrame, counted: str | None) -> DataFrame | None:
     """The keys that hold more than one ``HUBS``-th of the n rows (and ``HUB``): ``HUBS`` keys at most. None: rows are few."""
     if n <= FEW:
         return None
     many = max(HUB, math.ceil(n / HUBS))
+    if counted:
+        return values.filter(F.col(counted) > many).select(keys)
     return df.groupBy(keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > many).select(keys)
 
 
-def hub_join(df: DataFrame, values: DataFrame, key: str | list[str], n: int, how: str = "inner") -> DataFrame:
+def hub_join(df: DataFrame, values: DataFrame, key: str | list[str], n: int, how: str = "inner", counted: str | None = None) -> DataFrame:
     """``df`` (of about n rows) joined with ``values`` (one row a key); rows of hubs stay where they are.
 
     No task gathers the rows of one key: the values of hubs are broadcast (``HUBS`` rows at
-    most), all other rows are shuffled.
+    most), all other rows are shuffled.  ``counted`` names the column of ``values`` that holds
+    each key's number of rows, if one does.
     """
     key = [key] if isinstance(key, str) else key
-    hubs = hubs_of(df, key, n)
+    hubs = hubs_of(df, key, n, values, counted)
     if hubs is None:
         return df.join(values, key, how)
     hubs = F.broadcast(hubs)  # HUBS rows at most

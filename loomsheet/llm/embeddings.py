@@ -253,5 +253,15 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
     )
 
 
+#: For tables without repeated vec_ids.
+OP5_SQL = f"""
+with recursive e as (select vec_id, label, embedding::double[] as v from embeddings),
+    good as (select * from e where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(v, lambda x: x * x)) > 0),
+    link as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= {COSINE}),
+    reach as (select vec_id as a, vec_id as b from e union select reach.a, link.b from reach join link on reach.b = link.a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from e left join (select a as vec_id, count(*) as n from link group by a) using (vec_id) join (select a as vec_id, min(b) as component_id from reach group by a) using (vec_id)"""
+
+
 def op5_collision_counting_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "embeddings"))

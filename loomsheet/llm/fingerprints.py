@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Rolling, mix64, partitions_for, sliding_min, small_batches, table
+from ._common import U64, Rolling, input_bytes, mix64, partitions_for, sliding_min, small_batches, table
 
 K, W = 8, 16
+#: Ids drawn for each bucket to place its end.
+POINTS = 50
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -59,13 +61,21 @@ def fingerprint_with_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame
     bucket is sent to the bucket before it too, so each task streams its sorted rows and
     holds two texts at a time.  Null text is empty; a null doc_id sorts first; rows of equal
     doc_id sort by text; a single document is followed by itself; an empty table stays empty.
+    Equal hashes of one window: the rightmost holds.  Repeated rows are answered each, the
+    first followed by the second.  Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     n = partitions_for(docs, 4 << 20, factor=8)
     ids = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"))
-    cuts = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (2 * n))
+    # ids are drawn in proportion to their texts' bytes, so that buckets are of even size, not of even rows;
+    # only where buckets end depends on the draw
+    size = input_bytes(docs)
+    rate = POINTS * n / max(1, size if size < 1 << 58 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = docs.filter(share < (F.coalesce(F.octet_length("text"), F.lit(0)) + 64) * rate).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"))
+    cuts = drawn.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))
     cuts = np.unique(np.asarray([int(x) for x in cuts], np.int64))
 
     def bucket_of(values: np.ndarray) -> np.ndarray:

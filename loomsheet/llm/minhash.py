@@ -223,7 +223,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     nodes = checkpoint(signed.filter("bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    banded = checkpoint(hub_join(banded, buckets, "band", nodes.count() * bands).select("band", "node", "leader"))
+    banded = checkpoint(hub_join(banded, buckets, "band", nodes.count() * bands, counted="n").select("band", "node", "leader"))
     # the texts of nodes that share a bucket, compressed; the rest is compared with nothing
     met = nodes.join(banded.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "k1", "k2")
     texts = docs.join(met, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
@@ -245,7 +245,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
         known = open_.join(tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), "sim"), ["node", "leader"], "left")
         left = known.filter((F.col("node") > F.col("leader")) & (F.col("sim") < settle)).select("band", "node")
         leaders = left.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        open_ = checkpoint(hub_join(left, leaders, "band", left_over).select("band", "node", "leader"))
+        open_ = checkpoint(hub_join(left, leaders, "band", left_over, counted="n").select("band", "node", "leader"))
         left_over = open_.count()
         if not left_over:
             break
@@ -300,5 +300,20 @@ def one_of_each(docs: DataFrame, every_text: bool = False) -> DataFrame:
     return named.join(gone, "key", "left_anti").select(back).union(wide.filter("doc_id is null").select(back))
 
 
+#: For tables without null or repeated doc_ids.
+OP8_SQL = rf"""
+with recursive d as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    node as (select text, min(doc_id) as node, count(*) as copies, any_value(w) as w from d where len(w) > 0 group by text),
+    shingle as (select node, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') as s, count(*) as c from (select *, unnest(range(0, greatest(1, len(w) - {SHINGLE - 1}))) as i from node) group by 1, 2),
+    size as (select node, sum(c) as n from shingle group by 1),
+    met as (select a.node as a, b.node as b, sum(least(a.c, b.c)) as low from shingle a join shingle b on a.s = b.s and a.node < b.node group by 1, 2),
+    pair as (select a, b from met join size x on x.node = a join size y on y.node = b where low / (x.n + y.n - low)::double >= {SIMILARITY}),
+    link as (select a, b from pair union all select b, a from pair),
+    reach as (select node as a, node as b from node union select reach.a, link.b from reach join link on reach.b = link.a),
+    root as (select a as node, min(b) as class_id from reach group by a)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(copies, 1)::bigint as copies, doc_id = coalesce(class_id, doc_id) as kept
+from d left join node using (text) left join root using (node)"""
+
+
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))

@@ -553,6 +553,30 @@ def clean_documents(docs: DataFrame, length: int = BYTES) -> DataFrame:
     return with_hits(wide, by_doc(hits, "th", "at", "size")).mapInArrow(cut, schema)
 
 
+#: What both queries do with window starts that are hits: runs of starts whose windows touch or overlap.
+RUNS_SQL = """
+    hit as (select r, i from win join (select s, min(doc_id) as least from win group by s) using (s) where doc_id > least),
+    part as (select r, i, sum(case when i <= before + 50 then 0 else 1 end) over (partition by r order by i) as g from (select r, i, lag(i) over (partition by r order by i) as before from hit)),
+    run as (select r, min(i) as a, max(i) + 50 as e from part group by r, g),
+    gap as (select *, coalesce(lag(e) over (partition by r order by a), 0) as open from run)"""
+OP2_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    win as (select r, doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') as s from (select *, unnest(range(0, len(w) - 49)) as i from d)),{RUNS_SQL},
+    kept as (select r, sum(e - a) as gone, max(e) as last, string_agg(array_to_string(w[open + 1 : a], ' '), ' ' order by a) filter (a > open) as before from gap join d using (r) group by r)
+select doc_id, len(w) as n_words, coalesce(gone, 0)::bigint as n_removed,
+    sha256(concat_ws(' ', before, case when len(w) > coalesce(last, 0) then array_to_string(w[coalesce(last, 0) + 1 :], ' ') end)) as kept_sha256
+from d left join kept using (r)"""
+#: On hexadecimal digits, in pieces of 1,000 bytes, for a slice of a long text costs its length.
+OP10_SQL = f"""
+with d as (select row_number() over () as r, doc_id, hex(coalesce(text, '')) as h, length(hex(coalesce(text, ''))) // 2 as n from documents),
+    piece as (select r, doc_id, n, b, substr(h, 2 * b + 1, 2 * 1049) as x from (select *, unnest(range(0, greatest(n - 49, 0), 1000)) as b from d)),
+    win as (select r, doc_id, b + j as i, substr(x, 2 * j + 1, 100) as s from (select *, unnest(range(0, least(1000, n - 49 - b))) as j from piece)),{RUNS_SQL},
+    kept as (select r, sum(e - a) as gone, count(*) as spans, max(e) as last, string_agg(substr(h, 2 * open + 1, 2 * (a - open)), '' order by a) as before from gap join d using (r) group by r)
+select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+    sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0)::bigint + 1))) as kept_sha256
+from d left join kept using (r)"""
+
+
 def op2_rabin_karp_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 

@@ -49,6 +49,8 @@ def test_components_with_hubs(spark, monkeypatch):
     values = spark.createDataFrame([(500, "x"), (7, "y"), (601, "z")], "a long, v string")
     for how in ("inner", "left"):
         assert sorted(map(str, _common.hub_join(rows, values, "a", 1000, how).collect())) == sorted(map(str, rows.join(values, "a", how).collect()))
+    counted = rows.groupBy("a").count()
+    assert sorted(map(str, _common.hub_join(rows, counted, "a", 1000, counted="count").collect())) == sorted(map(str, rows.join(counted, "a").collect()))
 
 
 def vectors(seed=5):
@@ -434,3 +436,30 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
         assert r["ids_crc32"] == zlib.crc32(tokens[i][start : start + r["length"]].tobytes())
         at[i] += r["length"]
     assert at == {i: len(x) for i, x in tokens.items()}
+
+
+def test_pipeline_with_nulls_copies_and_nothing(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from loomsheet.llm import packing
+
+    rows = fixtures.rows()
+    fixtures.docs(spark).write.parquet(f"{tmp_path}/some/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, i % 7 == 0) for i in range(40)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) toxic")
+    for name in ("some", "none"):
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = {r["doc_id"] for r in pieces}
+    # null, empty and blank texts, the row without an id, and both texts under id 6 are there; copies are not
+    assert {11, 12, 13, None, 3} <= ids and 7 not in ids and ids <= {r[0] for r in rows}
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    per_id = Counter()
+    for r in pieces:
+        per_id[r["doc_id"]] += r["length"]
+    assert per_id[11] == per_id[12] == 1 and sum(r["start"] == 0 for r in pieces if r["doc_id"] == 6) == 2
+    alone = next(r[1] for r in rows if r[0] == 8)  # shares nothing
+    assert per_id[8] == len(whole.encode(alone, add_special_tokens=False).ids) + 1 and sum(r["start"] == 0 for r in pieces if r["doc_id"] == 5) == 1
+    fixtures.empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -131,7 +131,10 @@ def test_fingerprints(spark):
         cut = len(t) // 4
         assert got[i]["n_chars"] == len(t)
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
-        assert 0 <= got[i]["near_next"] <= 1
+        rolling = fingerprints.Rolling()
+        mine, edited, theirs = (set(fingerprints.winnow(x, rolling)[0].tolist()) for x in (t, t[: len(t) - cut] + after[:cut], after))
+        alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert got[i]["near_next"] == pytest.approx(alike(mine, theirs)) and got[i]["near_edited"] == pytest.approx(alike(mine, edited))
     assert got[7]["fingerprint"] == got[3]["fingerprint"] and got[7]["fingerprint"] != got[4]["fingerprint"]
     with_rest = fingerprints.fingerprint_with_edits(fixtures.docs(spark))
     assert with_rest.count() == len(fixtures.rows())
