@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Rolling, input_bytes, mix64, partitions_for, sliding_min, small_batches, table
+from ._common import BASES, U64, Rolling, input_bytes, mix64, partitions_for, sliding_min, small_batches, table
 
 K, W = 8, 16
 #: Ids drawn for each bucket to place its end.
@@ -147,5 +147,48 @@ def fingerprint_with_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame
     return dealt.mapInArrow(stream, SCHEMA)
 
 
+def _mixed(name: str, source: str, keep: str) -> str:
+    """CTEs that add ``x``: ``mix64`` of the column ``y`` (unsigned, modulo 2**64)."""
+    times = lambda c: f"((x::uhugeint * {c}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+    return f"""{name}_a as (select {keep}, xor(y, y >> 30) as x from {source}),
+    {name}_b as (select {keep}, {times(0xBF58476D1CE4E5B9)} as x from {name}_a),
+    {name}_c as (select {keep}, xor(x, x >> 27) as x from {name}_b),
+    {name}_d as (select {keep}, {times(0x94D049BB133111EB)} as x from {name}_c),
+    {name} as (select {keep}, xor(x, x >> 31) as x from {name}_d)"""
+
+
+def _sql() -> str:
+    ahead = "partition by doc_id, side order by i"
+    terms = " + ".join(f"(coalesce(lead(x, {j}) over ({ahead}), 0)::uhugeint * {pow(BASES[0], j, 1 << 64)}::uhugeint) % 18446744073709551616::uhugeint" for j in range(K))
+    like = lambda a, b, c: f"case when {a} + {b} = 0 then 1.0::double else {c}::double / ({a} + {b} - {c}) end"
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+    n as (select doc_id, text, length(text) as n, coalesce(lead(doc_id) over (order by doc_id), min(doc_id) over ()) as next from t),
+    d as (select n.doc_id, n.text, n.n, next, substr(n.text, 1, n.n - n.n // 4) || substr(m.text, 1, n.n // 4) as edited from n join t m on m.doc_id = n.next),
+    u as (select doc_id, 0 as side, text from d union all select doc_id, 1, edited from d),
+    c as (select doc_id, side, len(p) as n, unnest(p) as ch, unnest(range(0, len(p))) as i from (select doc_id, side, regexp_extract_all(text, '(?s).') as p from u)),
+    point as (select distinct ch, (unicode(ch) + 1)::ubigint as y from c),
+    {_mixed("token", "point", "ch")},
+    gram as (select doc_id, side, n, i, (({terms}) % 18446744073709551616::uhugeint)::ubigint as y from c join token using (ch)),
+    whole as (select doc_id, side, greatest(n - {K} + 1, 1) as grams, i, y from gram where i <= greatest(n - {K}, 0)),
+    {_mixed("hash", "whole", "doc_id, side, grams, i")},
+    low as (select doc_id, side, grams, i, min(((x >> 32) << 32) | (4294967295 - i)::ubigint) over ({ahead} rows between current row and {W - 1} following) as least from hash),
+    kept as (select distinct doc_id, side, least >> 32 as h, 4294967295 - (least & 4294967295::ubigint) as pos from low where i <= grams - least({W}, grams)),
+    print as (select doc_id, side, string_agg(format('{{:x}}:{{:x}}', h, pos), ',' order by pos) as fp from kept group by 1, 2),
+    one as (select distinct doc_id, side, h from kept),
+    size as (select doc_id, side, count(*) as n from one group by 1, 2),
+    with_edited as (select a.doc_id, count(*) as n from one a join one b on a.doc_id = b.doc_id and a.h = b.h where a.side = 0 and b.side = 1 group by 1),
+    with_next as (select d.doc_id, count(*) as n from d join one a on a.doc_id = d.doc_id and a.side = 0 join one b on b.doc_id = d.next and b.side = 0 and b.h = a.h group by 1)
+select d.doc_id, d.n as n_chars, sha256(edited) as edited_sha256, coalesce(p.fp, '') as fingerprint, coalesce(q.fp, '') as edited_fingerprint,
+    {like("coalesce(s0.n, 0)", "coalesce(s1.n, 0)", "coalesce(we.n, 0)")} as near_edited, {like("coalesce(s0.n, 0)", "coalesce(s2.n, 0)", "coalesce(wn.n, 0)")} as near_next
+from d left join print p on p.doc_id = d.doc_id and p.side = 0 left join print q on q.doc_id = d.doc_id and q.side = 1
+    left join size s0 on s0.doc_id = d.doc_id and s0.side = 0 left join size s1 on s1.doc_id = d.doc_id and s1.side = 1 left join size s2 on s2.doc_id = d.next and s2.side = 0
+    left join with_edited we on we.doc_id = d.doc_id left join with_next wn on wn.doc_id = d.doc_id"""
+
+
+#: For tables without null or repeated doc_ids.
+OP3_SQL = _sql()
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))

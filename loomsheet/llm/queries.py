@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import OP5_SQL, op5_collision_counting_links
-from .fingerprints import op3_winnowing
+from .fingerprints import OP3_SQL, op3_winnowing
 from .language_id import op1_error_correcting_language_id
 from .minhash import OP8_SQL, op8_bag_minhash
 from .packing import op7_sum_of_squares_packing
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that it can express; the others are tested against plain versions."""
-    return {"op2_rabin_karp_substrings": OP2_SQL, "op4_information_theoretic_pii": OP4_SQL, "op5_collision_counting_links": OP5_SQL, "op8_bag_minhash": OP8_SQL, "op10_suffix_array_substrings": OP10_SQL}
+    return {"op2_rabin_karp_substrings": OP2_SQL, "op3_winnowing": OP3_SQL, "op4_information_theoretic_pii": OP4_SQL, "op5_collision_counting_links": OP5_SQL, "op8_bag_minhash": OP8_SQL, "op10_suffix_array_substrings": OP10_SQL}
