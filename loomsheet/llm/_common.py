@@ -198,30 +198,25 @@ def carried(columns: list[str]) -> Column:
     return F.struct(F.lit(None).cast("string").alias(free), *[F.col("`" + c.replace("`", "``") + "`") for c in columns])
 
 
-def hubs_of(df: DataFrame, keys: list[str], n: int, values: DataFrame, counted: str | None) -> DataFrame | None:
-    """The keys that hold more than one ``HUBS``-th of the n rows (and ``HUB``): ``HUBS`` keys at most. None: rows are few."""
-    if n <= FEW:
-        return None
-    many = max(HUB, math.ceil(n / HUBS))
-    if counted:
-        return values.filter(F.col(counted) > many).select(keys)
-    return df.groupBy(keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > many).select(keys)
-
-
-def hub_join(df: DataFrame, values: DataFrame, key: str | list[str], n: int, how: str = "inner", counted: str | None = None) -> DataFrame:
-    """``df`` (of about n rows) joined with ``values`` (one row a key); rows of hubs stay where they are.
-
-    No task gathers the rows of one key: the values of hubs are broadcast (``HUBS`` rows at
-    most), all other rows are shuffled.  ``counted`` names the column of ``values`` that holds
-    each key's number of rows, if one does.
+def hub_join(df: DataFrame, values: DataFrame, key: str | list[str], n: int, spread: str, how: str = "inner", counted: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """``df`` (of about n rows) joined with ``values`` (one row a key); the rows of one key go to many tasks.
+
+    A hub, a key of more than one ``HUBS``-th of the rows (and ``HUB``), is dealt by the column
+    ``spread`` to as many parts as it holds that many rows, and its value to each of them.
+    Only the hubs' keys and parts are broadcast: ``HUBS`` rows at most, whatever the values.
+    ``counted`` names the column of ``values`` that holds each key's rows, if one does;
+    ``counts`` gives them (``__n``) where counting ``df`` itself costs more.
     """
     key = [key] if isinstance(key, str) else key
-    hubs = hubs_of(df, key, n, values, counted)
-    if hubs is None:
+    if n <= FEW:
         return df.join(values, key, how)
-    hubs = F.broadcast(hubs)  # HUBS rows at most
-    some = F.broadcast(values.join(hubs, key, "left_semi"))  # as many
-    return df.join(hubs, key, "left_semi").join(some, key, how).unionByName(df.join(hubs, key, "left_anti").join(values, key, how))
+    many = max(HUB, math.ceil(n / HUBS))
+    if counts is None:
+        counts = values.select(*key, F.col(counted).alias("__n")) if counted else df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hubs = F.broadcast(counts.filter(F.col("__n") > many).select(*key, F.ceil(F.col("__n") / many).cast("int").alias("__parts")))
+    dealt = df.join(hubs, key, "left").withColumn("__part", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    return dealt.join(values.join(hubs, key, "left").withColumn("__part", parts).drop("__parts"), [*key, "__part"], how).drop("__part")
 
 
 def with_least(df: DataFrame, key: str, value: str, n: int) -> DataFrame:

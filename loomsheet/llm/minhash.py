@@ -121,7 +121,7 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    both = hub_join(both, texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b", n)
+    both = hub_join(both, texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b", n, "a", counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__n")))
     return both.sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, sim double")
 
 
@@ -133,10 +133,10 @@ def block_links(own: DataFrame, cross: DataFrame, texts: DataFrame, n: int, leas
     between their multisets, of which only links that connect come out.
     """
     groups = components(cross).select(F.col("node").alias("part"), F.col("component").alias("group"))
-    placed = checkpoint(hub_join(own, groups, "part", n).join(texts, "node"))
+    placed = checkpoint(hub_join(own, groups, "part", n, "node").join(texts, "node"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("z")) / BLOCK_BYTES)).cast("int")
-    sizes = placed.groupBy("group").agg(blocks.alias("blocks"))
-    placed = hub_join(placed, sizes, "group", n)
+    sizes = placed.groupBy("group").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes"))
+    placed = hub_join(placed, sizes, "group", n, "node", counted="nodes").drop("nodes")
     placed = placed.withColumn("own", F.pmod(F.when(F.col("blocks") > 1, F.hash("node")).otherwise(0), F.col("blocks")))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.select("group", "own", each.alias("other"), "node", "part", "z")
@@ -182,7 +182,8 @@ def block_links(own: DataFrame, cross: DataFrame, texts: DataFrame, n: int, leas
         moved = root != part
         return pa.table({"a": part[moved], "b": root[moved]})
 
-    return dealt.groupBy("group", "i", "j").applyInArrow(span, "a long, b long").distinct()
+    # dealt by block pair, or the partitioning by group would be kept
+    return dealt.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(span, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, settle: float = 0.6, rounds: int = 2) -> DataFrame:
@@ -223,7 +224,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     nodes = checkpoint(signed.filter("bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    banded = checkpoint(hub_join(banded, buckets, "band", nodes.count() * bands, counted="n").select("band", "node", "leader"))
+    banded = checkpoint(hub_join(banded, buckets, "band", nodes.count() * bands, "node", counted="n").select("band", "node", "leader"))
     # the texts of nodes that share a bucket, compressed; the rest is compared with nothing
     met = nodes.join(banded.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "k1", "k2")
     texts = docs.join(met, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
@@ -239,13 +240,14 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
         pairs = open_.filter("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+        pairs = checkpoint(pairs)
         new = checkpoint(compared(pairs, texts, left_over))
         tested = new if tested is None else checkpoint(tested.union(new))
         # nodes far from their bucket's leader get another: the least of those left
         known = open_.join(tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), "sim"), ["node", "leader"], "left")
         left = known.filter((F.col("node") > F.col("leader")) & (F.col("sim") < settle)).select("band", "node")
         leaders = left.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        open_ = checkpoint(hub_join(left, leaders, "band", left_over, counted="n").select("band", "node", "leader"))
+        open_ = checkpoint(hub_join(left, leaders, "band", left_over, "node", counted="n").select("band", "node", "leader"))
         left_over = open_.count()
         if not left_over:
             break
@@ -255,12 +257,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     linked = components(links).select("node", F.col("component").alias("part"))
     own = checkpoint(texts.select("node").join(linked, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
     n_met, n_alike = own.count(), alike.count()
-    ends = hub_join(alike.withColumnRenamed("b", "node"), own, "node", n_alike).select(F.col("a").alias("node"), F.col("part").alias("b"))
+    ends = hub_join(alike.withColumnRenamed("b", "node"), own, "node", n_alike, "a").select(F.col("a").alias("node"), F.col("part").alias("b"))
     cross = checkpoint(ends.join(own, "node").select(F.col("part").alias("a"), "b").filter("a <> b").distinct())
     roots = own.select("node", F.col("part").alias("component"))
     if not cross.isEmpty():
         further = components(checkpoint(block_links(own, cross, texts, n_met, least))).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-        roots = hub_join(own, further, "part", n_met, "left").select("node", F.coalesce("whole", "part").alias("component"))
+        roots = hub_join(own, further, "part", n_met, "node", "left").select("node", F.coalesce("whole", "part").alias("component"))
     node_of = signed.filter("bands is not null").join(nodes.select("k1", "k2", "node", "copies"), ["k1", "k2"])
     found = node_of.join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), "copies")
     alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))

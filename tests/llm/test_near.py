@@ -48,9 +48,9 @@ def test_components_with_hubs(spark, monkeypatch):
     rows = spark.createDataFrame(links, "a long, b long")
     values = spark.createDataFrame([(500, "x"), (7, "y"), (601, "z")], "a long, v string")
     for how in ("inner", "left"):
-        assert sorted(map(str, _common.hub_join(rows, values, "a", 1000, how).collect())) == sorted(map(str, rows.join(values, "a", how).collect()))
+        assert sorted(map(str, _common.hub_join(rows, values, "a", 1000, "b", how).collect())) == sorted(map(str, rows.join(values, "a", how).collect()))
     counted = rows.groupBy("a").count()
-    assert sorted(map(str, _common.hub_join(rows, counted, "a", 1000, counted="count").collect())) == sorted(map(str, rows.join(counted, "a").collect()))
+    assert sorted(map(str, _common.hub_join(rows, counted, "a", 1000, "b", counted="count").collect())) == sorted(map(str, rows.join(counted, "a").collect()))
 
 
 def vectors(seed=5):
@@ -463,3 +463,13 @@ def test_pipeline_with_nulls_copies_and_nothing(spark, tmp_path):
     assert per_id[8] == len(whole.encode(alone, add_special_tokens=False).ids) + 1 and sum(r["start"] == 0 for r in pieces if r["doc_id"] == 5) == 1
     fixtures.empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_marks_by_shuffle_are_those_told_to_all(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "TOLD", 0)
+    monkeypatch.setattr(_common, "FEW", few)
+    monkeypatch.setattr(_common, "HUB", 3)
+    rows = [(i, f"Plain text of House number {i}") for i in range(50)] + [(100 + k, "Plain text by Yolanda of Obsidian at yol@mail.example") for k in range(30)] + [(200, None)]
+    out = {r["doc_id"]: r["text"] for r in pii.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {out[100 + k] for k in range(30)} == {"Plain text by  of  at <EMAIL>"} and out[200] is None and out[7] == rows[7][1]
