@@ -12,7 +12,7 @@ import functools
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,34 @@ class Vocabulary:
         self.runs = re.compile(rf" *[^\W_{bound}]+| *[\W_{bound}]+?(?= |[^\W_{bound}]|\Z)")
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class Memo(dict):
+    """Ids (int32 bytes) of the runs met; a run that is not there is searched.
+
+    When it is full it becomes the old one, from which runs still in use come back; so it
+    holds ``limit`` short runs twice at most.
+    """
+
+    def __init__(self, search: Callable[[str], list[int]], limit: int):
+        super().__init__()
+        self.search, self.limit = search, limit
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            ids = packed(self.search(run))
+        if len(run) <= LONG_RUN:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class StreamingViterbi:
     """Feed text in parts; ``feed`` and ``finish`` return the ids committed so far.
 
@@ -76,67 +104,58 @@ class StreamingViterbi:
     window of positions bounded by the longest piece and commits whenever the backpointer
     paths of all live positions meet in one boundary.
 
-    The memo holds ``limit`` runs; when it is full it becomes the old one, from which runs
-    still in use come back.  ``width`` is the greatest number of positions ever held beyond
-    the committed boundary and the part being read.
+    ``width`` is the greatest number of positions ever held beyond the committed boundary
+    and the part being read.
     """
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
-        self.v, self.limit = vocabulary, limit
-        self.memo: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.v, self.memo = vocabulary, Memo(self._whole, limit)
         self.reset()
 
     def reset(self) -> None:
         self.text, self.base, self.width = "", 0, 0  # text from the committed boundary on
         self.best, self.back, self.ids = [0.0], [0], [0]  # ids: the piece that ends here, -1: bytes
         self.done = 0  # positions of ``text`` whose outgoing pieces are all entered
-        self.open = ""  # what may go on as a run; its end if the run is already being searched
+        self.open = ""  # what may go on as a run; its last character if that run is already being searched
         self.within = False  # whether the search stands inside a run
 
     def feed(self, part: str) -> list[int]:
+        return list(array("i", b"".join(self.feed_packed(part))))
+
+    def finish(self) -> list[int]:
+        return list(array("i", self.finish_packed()))
+
+    def feed_packed(self, part: str) -> list[bytes]:
         if not self.v.by_word:
-            return self._search(part)
-        out: list[int] = []
-        text = self.open + part
+            return [packed(self._search(part))]
+        out: list[bytes] = []
         known = len(self.open) if self.within else 0  # what the search has seen
-        runs = self.v.runs.findall(text)
+        runs = self.v.runs.findall(self.open + part)
         if not runs:
             return out
         last = runs.pop()  # may go on in the next part
         if known and runs:
-            out += self._search(runs.pop(0)[known:]) + self._end()
+            out.append(packed(self._search(runs.pop(0)[known:]) + self._end()))
             known, self.within = 0, False
-        get = self.memo.get
-        for run in runs:
-            if (ids := get(run)) is None:
-                ids, get = self._run(run), self.memo.get
-            out += ids
+        out.extend(map(self.memo.__getitem__, runs))
         if self.within or len(last) > LONG_RUN:
-            out += self._search(last[known:])
+            out.append(packed(self._search(last[known:])))
             self.within, self.open = True, last[-1]
         else:
             self.open = last
         return out
 
-    def finish(self) -> list[int]:
+    def finish_packed(self) -> bytes:
         if self.v.by_word and self.open and not self.within:
-            out = self._run(self.open)
+            out = self.memo[self.open]
         else:
-            out = self._end()
+            out = packed(self._end())
         self.reset()
         return out
 
-    def _run(self, run: str) -> list[int]:
-        """A whole run, from one boundary to the next."""
-        if (ids := self.memo.get(run)) is None:
-            if (ids := self.old.get(run)) is None:
-                ids = self._search(run) + self._end()
-            if len(run) <= LONG_RUN:
-                if len(self.memo) >= self.limit:
-                    self.old, self.memo = self.memo, {}
-                self.memo[run] = ids
-        return ids
+    def _whole(self, run: str) -> list[int]:
+        """From one boundary to the next."""
+        return self._search(run) + self._end()
 
     def _extend(self, until: int) -> None:
         text, best, back, ids = self.text, self.best, self.back, self.ids
@@ -218,11 +237,11 @@ class Encoder:
         self.cut = vocabulary.runs.findall if vocabulary.by_word else None
 
     def encode(self, text: str) -> bytes:
-        out, feed = array("i"), self.search.feed
+        out: list[bytes] = []
         for k in range(0, len(text), PART):
-            out.extend(feed(text[k : k + PART]))
-        out.extend(self.search.finish())
-        return out.tobytes()
+            out += self.search.feed_packed(text[k : k + PART])
+        out.append(self.search.finish_packed())
+        return b"".join(out)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
