@@ -397,7 +397,7 @@ def test_reads_can_be_stopped_and_repeated(spark, repo):
     stop.set()
     with pytest.raises(control.Aborted):
         repo.count(signal=stop)
-    slow = Repository("slow", spark.range(8, numPartitions=8).select(F.udf(lambda x: time.sleep(20) or x, "long")("id").alias("x")), key="x")
+    slow = Repository("slow", spark.range(8, numPartitions=8).select(F.udf(lambda x: time.sleep(6) or x, "long")("id").alias("x")), key="x")
     start, stop = time.monotonic(), threading.Event()
     threading.Timer(1, stop.set).start()
     with pytest.raises(control.Aborted):
