@@ -7,7 +7,7 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths
-from ..functions.predicates import literal
+from ..functions.predicates import family, literal
 from .ordering import project, sorted_by
 
 #: Fixed limits.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_PAGE, DEEP_PAGE, VERSION = 10, 100, 10_000, 100, 1
+#: Rows before a page that are sorted with it; pivots of each round that narrows a page with more rows before it.
+SKIPPED, PIVOTS = 5_000, 32
 
 
 class InvalidCursor(ValueError):
@@ -38,13 +40,14 @@ def valid_limit(limit: Any, default: int = DEFAULT_LIMIT, cap: int = MAX_LIMIT)
 
 
 def valid_page(page: Any, most: int = MAX_PAGE) -> int:
+    """Whole and at least 1, else 1; beyond ``most`` (0: no cap) it is refused."""
     try:
         n = float(page)
     except (TypeError, ValueError):
         return 1
     if not math.isfinite(n) or n < 1:
         return 1
-    if n > most:
+    if most and n > most:
         raise ValueError(f"page {int(n)} is beyond the last allowed page {most}")
     return int(n)
 
@@ -232,12 +235,77 @@ def offset_plan(df: DataFrame, sort: Mapping[str, int] | None, page: int, limit:
     return sorted_by(df, sort).offset(skip(page, limit)).limit(limit)
 
 
-def offset_page(df: DataFrame, sort: Mapping[str, int] | None, page: Any, limit: int, count: str = "exact") -> OffsetPage:
-    """``count="none"`` skips the count and looks one row ahead."""
-    page = valid_page(page)
+def deep_rows(df: DataFrame, sort: Mapping[str, int], start: int, n: int, select: Sequence[str] | Mapping[str, int] | None = None) -> list[Row]:
+    """Rows ``start`` to ``start + n`` of the sorted rows, where many stand before them.
+
+    Rounds of random pivots and counts between them narrow down where the page stands, so
+    neither the driver nor a task holds the rows before it.  A hash of the whole row (but
+    its maps) breaks ties, so pages neither lose nor repeat rows; equal rows are alike.
+    """
+    names, tie = df.columns, "__tie"
+    while tie in names:
+        tie += "_"
+    hashed = [F.col(paths.quoted(x.name)) for x in df.schema if "map<" not in x.dataType.simpleString()]
+    df = df.withColumn(tie, F.xxhash64(*hashed) if hashed else F.lit(0).cast("long"))
+    schema, sort = df.schema, dict(sort) | {tie: 1}
+    kinds = {name: paths.type_of(schema, name) for name in sort}
+
+    def equal(values: Mapping[str, Any]) -> Column:
+        out = F.lit(True)
+        for name, v in values.items():
+            c = paths.column(schema, name)
+            out = out & (c.isNull() if v is None else c.eqNullSafe(literal(v, kinds[name])))
+        return out
+
+    def pivots(part: DataFrame) -> list[dict[str, Any]]:
+        some = part.select([paths.column(schema, name).alias(str(i)) for i, name in enumerate(sort)]).orderBy(F.rand()).limit(PIVOTS).distinct()
+        found = sorted_by(some, {str(i): way for i, way in enumerate(sort.values())}).collect()
+        # timestamps are collected in the driver's zone
+        moment = lambda v, kind: v.astimezone(timezone.utc) if v is not None and isinstance(kind, T.TimestampType) else v
+        return [{name: moment(v, kinds[name]) for name, v in zip(sort, r, strict=True)} for r in found]
+
+    def shown(part: DataFrame) -> list[Row]:
+        return project(part.select([F.col(paths.quoted(c)) for c in names]), select).collect()
+
+    def rows(part: DataFrame, start: int, n: int) -> list[Row]:
+        if start <= SKIPPED:
+            return shown(sorted_by(part, sort).offset(start).limit(n))
+        at = pivots(part)
+        past, same = [after(schema, sort, v) for v in at], [equal(v) for v in at]
+        # even regions lie between two pivots, odd ones are the rows equal to one
+        region = F.lit(0)
+        for p, s in zip(past, same, strict=True):
+            region = region + F.when(p, 2).when(s, 1).otherwise(0)
+        held = {r[0]: r[1] for r in part.groupBy(region.alias("region")).count().collect()}
+        out, before = [], 0
+        for k in range(2 * len(at) + 1):
+            first, last = max(start - before, 0), min(start + n - before, held.get(k, 0))
+            before += held.get(k, 0)
+            if first >= last:
+                continue
+            i = k // 2
+            if k % 2:
+                out += shown(part.filter(same[i]).limit(last - first))
+            else:
+                inside = part.filter(past[i - 1]) if i else part
+                out += rows(inside.filter(~(past[i] | same[i])) if i < len(at) else inside, first, last - first)
+        return out
+
+    return rows(df, start, n)
+
+
+def offset_page(df: DataFrame, sort: Mapping[str, int] | None, page: Any, limit: int, count: str = "exact", most: int = MAX_PAGE, select: Sequence[str] | Mapping[str, int] | None = None) -> OffsetPage:
+    """``count="none"`` skips the count and looks one row ahead; ``select`` trims the rows, after they are sorted."""
+    page = valid_page(page, most)
     ahead = count == "none"
-    rows = sorted_by(df, sort).offset(skip(page, limit)).limit(limit + ahead).collect()
     total = 0 if ahead else df.count()
+    start, n = skip(page, limit), limit + ahead
+    if not ahead and start >= total:
+        rows = []
+    elif start > SKIPPED and sort and all(family(paths.type_of(df.schema, name)) != "other" for name in sort):
+        rows = deep_rows(df, sort, start, n, select)
+    else:
+        rows = project(sorted_by(df, sort), select).offset(start).limit(n).collect()
     pages = page_count(total, limit)
     more = len(rows) > limit if ahead else page < pages
     return OffsetPage(rows[:limit], page, limit, total, pages, more, page > 1, f"page {page} is deep; a keyset page is cheaper" if is_deep(page) else None)

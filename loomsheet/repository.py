@@ -55,11 +55,14 @@ class Repository:
         distribution_key: str | None = None,
         distribution_mode: str = "warn",
         validate: Callable[[dict], dict] | None = None,
+        max_page: int = paging.MAX_PAGE,
     ):
+        """``max_page``: offset pages beyond it are refused (0: none is)."""
         self.name, self.source, self.key = name, source, key or getattr(source, "key", None)
         self.catalog, self.tenancy, self.soft_delete, self.unique = catalog or {}, tenancy, soft_delete, unique
         self.version_field, self.cache, self.text_fields = version_field, cache, text_fields
         self.distribution_key, self.distribution_mode = distribution_key, distribution_mode
+        self.max_page = max_page
         self.hooks, self.capabilities = Hooks(), Capabilities()
         self._staged: DataFrame | None = None
         if validate:
@@ -235,7 +238,7 @@ class Repository:
         def body(scoped: Filter) -> Any:
             df = self._filtered(f.and_(scoped, self.search_filter(search)))
             if page is not None:
-                return paging.offset_page(project(sorted_by(df, sort), select), None, page, n, count)
+                return paging.offset_page(df, sort, page, n, count, self.max_page, select)
             if after is not None or sort:
                 return paging.keyset_page(df, sort or {self.key: 1}, self.key, after, n, select=select)
             return project(df, select).collect()
@@ -273,7 +276,7 @@ class Repository:
             if pagination == "keyset" or after:
                 return paging.group_keyset_page(groups, request.sort, request.keys, after, paging.valid_limit(limit))
             whole = dict(request.sort) | {k: 1 for k in request.keys if k not in request.sort}
-            return paging.offset_page(groups, whole, page, paging.valid_limit(limit), count)
+            return paging.offset_page(groups, whole, page, paging.valid_limit(limit), count, self.max_page)
 
         return self._read("aggregatePaginate", hints | context, None, body, request=repr(request), page=page, after=after, limit=limit, pagination=pagination, count=count)
 
@@ -290,7 +293,7 @@ class Repository:
                 got = paging.keyset_page(base, sort or {self.key: 1}, self.key, after, n, select=wanted)
             else:
                 whole = dict(sort or ({self.key: 1} if self.key else {}))
-                got = paging.offset_page(project(sorted_by(base, whole), wanted), None, page or 1, n, count)
+                got = paging.offset_page(base, whole, page or 1, n, count, self.max_page, wanted)
             got.data, _ = embed_page(got.data, project(base, wanted).schema, lookups, self.table)
             return got
 

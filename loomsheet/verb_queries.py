@@ -193,8 +193,8 @@ def _page_sql() -> str:
 
 @query(_page_sql())
 def page_envelopes(spark, d):
-    """Pages by number: limits and page numbers made valid, totals, edges."""
-    r, rows = _orders(spark, d), []
+    """Pages by number: limits and page numbers made valid, totals, edges; the last page, however many there are."""
+    r, rows = _orders(spark, d, max_page=0), []
     last = {"F": -(-r.count({"o_orderstatus": "F"}) // 50)}
     for what, (page, limit, status, _) in _PAGES.items():
         p = r.get_all({"o_orderstatus": status}, page=last[status] if page == "last" else page, limit=limit, sort={"o_orderkey": 1})

@@ -5,8 +5,10 @@ import pytest
 from loomsheet.operators.aggregate import aggregate, grouped
 from loomsheet.operators.lookup import embed
 from loomsheet.operators import paging
+from loomsheet.operators.ordering import sorted_by
 from loomsheet.plans import filters as f
 from loomsheet.plans.requests import Aggregate, Bucket, Lookup, Measure, TopN
+from loomsheet.repository import Repository
 
 
 @pytest.fixture(scope="module")
@@ -138,6 +140,30 @@ def test_offset_and_keyset_pages(spark):
     assert paging.normal_sort({"id": -1, "a": 1}, "id") == {"a": 1, "id": -1} and paging.inverted({"a": 1}) == {"a": -1} and paging.primary_field({"id": 1}, "id") == "id"
 
 
+def test_deep_offset_pages_are_narrowed_down(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SKIPPED", 60)
+    monkeypatch.setattr(paging, "PIVOTS", 4)
+    rows = [(i, [None, "b", "é", "z"][i % 4], None if i % 9 == 0 else float(i // 30), datetime(2026, 1, 1 + i % 5, i % 24)) for i in range(300)]
+    df = spark.createDataFrame(rows + [(999, "same", 1.0, datetime(2026, 2, 1))] * 60, "id int, g string, x double, at timestamp").coalesce(2)
+    for sort in ({"g": -1, "id": -1}, {"x": 1, "at": -1, "id": 1}):
+        want = [tuple(r) for r in sorted_by(df, sort).select("id", "g").collect()]
+        for page in (14, 33):
+            p = paging.offset_page(df, sort, page, 10, select=["id", "g"])
+            assert [tuple(r) for r in p.data] == want[10 * page - 10 : 10 * page] and (p.total, p.pages) == (360, 36)
+    pages = [paging.offset_page(df, {"g": 1}, page, 100) for page in (2, 3, 4)]  # ties
+    seen = [r["id"] for p in pages for r in p.data]
+    assert len(seen) == 260 and len(set(seen) - {999}) == len([i for i in seen if i != 999])
+    assert not paging.offset_page(df, {"id": 1}, 36, 10, "none").has_next
+
+
+def test_the_last_allowed_page_is_set_by_the_repository(spark):
+    df = spark.range(10_050)
+    with pytest.raises(ValueError):
+        Repository("r", df, "id").get_all(page=10_050, limit=1, sort={"id": 1})
+    p = Repository("r", df, "id", max_page=0).get_all(page=10_050, limit=1, sort={"id": 1})
+    assert [r["id"] for r in p.data] == [10_049] and (p.pages, p.has_next) == (10_050, False)
+
+
 def test_text_without_an_offset_is_utc_in_any_session_zone(spark):
     texts = ["2026-01-05T10:00:00", "2026-01-05 10:00:00", "2026-01-05T10:00:00Z", "2026-01-05T12:00:00+02:00", "2026-01-05T05:00:00.5-0500", "2026-01-05", "no date"]
     df = spark.createDataFrame([(t,) for t in texts], "at string")
