@@ -473,3 +473,19 @@ def test_marks_by_shuffle_are_those_told_to_all(spark, monkeypatch, few):
     rows = [(i, f"Plain text of House number {i}") for i in range(50)] + [(100 + k, "Plain text by Yolanda of Obsidian at yol@mail.example") for k in range(30)] + [(200, None)]
     out = {r["doc_id"]: r["text"] for r in pii.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {out[100 + k] for k in range(30)} == {"Plain text by  of  at <EMAIL>"} and out[200] is None and out[7] == rows[7][1]
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(50)] + [(7, k) for k in range(300, 380)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(links, "a long, b long")
+    names = df.selectExpr("concat('n', a) a", "concat('n', b) b")
+    with monkeypatch.context() as m:
+        for name, n in (("FEW_LINKS", 0), ("FEW", 10), ("HUB", 5)):  # rounds, with hubs
+            m.setattr(_common, name, n)
+        want = {tuple(r) for r in _common.components(df).collect()}
+        by_name = {tuple(r) for r in _common.components(names).collect()}
+    monkeypatch.delattr(_common, "with_least")  # a round would need it
+    found = _common.components(df)
+    assert found.columns == ["node", "component"] and sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 200
+    assert {tuple(r) for r in _common.components(names).collect()} == by_name
