@@ -489,3 +489,20 @@ def test_few_links_are_joined_without_rounds(spark, monkeypatch):
     found = _common.components(df)
     assert found.columns == ["node", "component"] and sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 200
     assert {tuple(r) for r in _common.components(names).collect()} == by_name
+
+
+def test_few_links_of_structs_and_other_values_are_joined(spark, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.randint(-90, 90), rng.randint(-90, 90)) for _ in range(110)] + [(-5, k) for k in range(60, 80)]
+    df = spark.createDataFrame(links, "a long, b long")
+    forms = ["named_struct('rep', {0} div 3, 'k1', {0})", "named_struct('x', nullif({0} div 3, 0), 'y', array(cast({0} as string)))", "cast(cast({0} as string) as binary)", "if({0} = 7, double('NaN'), double({0}))"]
+    for form in forms:
+        of = df.selectExpr(f"{form.format('a')} a", f"{form.format('b')} b")
+        with monkeypatch.context() as m:
+            m.setattr(_common, "FEW_LINKS", 0)
+            want = sorted(map(str, _common.components(of).collect()))
+        with monkeypatch.context() as m:
+            m.delattr(_common, "with_least")  # a round would need it
+            found = _common.components(of)
+        assert sorted(map(str, found.collect())) == want and len(want) > 50
+        assert [t for _, t in found.dtypes] == [dict(of.dtypes)["a"]] * 2
