@@ -293,6 +293,18 @@ def test_terms_of_entities_in_one_text_or_in_copies_are_judged(spark):
     assert all(out[i] == t for i, t in rows if i < 200 or i in (301, 500))
 
 
+def test_words_in_failing_matches_and_short_ones_are_judged(spark):
+    rows = [(i, f"Common Plain words of House number {i} in some longer text") for i in range(200)]
+    rows += [(300, "Common text by Zebulon77 of Bob at zeb@mail.example, 4111 1111 1111 1112 or 999.1.1.10"), (301, "Common text that names Obsidian42 and Ann")]
+    rows += [(302, "Plain text by Ann77 of Zoë at +49 170 1234567 not é5@mail.example")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.clean_documents(df).collect()}
+    assert out[300] == "Common text by <CODE> of <NAME> at <EMAIL>, <CODE> <CODE> <CODE> <CODE> or <CODE>.1.1.10"
+    # a word that a base span cuts is none
+    assert out[302] == "Plain text by <CODE> of <NAME> at <PHONE> not é<EMAIL>"
+    assert all(out[i] == t for i, t in rows if i not in (300, 302))
+
+
 def test_clean_documents_keeps_columns(spark):
     df = fixtures.docs(spark)
     out = pii.clean_documents(df)
